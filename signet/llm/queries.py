@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import mixing, packing, quality_rules, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_mixing": mixing.op2_mixing,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_packing": packing.op8_packing,
     }
 
 
