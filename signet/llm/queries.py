@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, sharding
+from . import classifier, mixing, packing, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_mixing": mixing.op2_mixing,
+        "op3_quality_classifier": classifier.op3_quality_classifier,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_packing": packing.op8_packing,
     }
