@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, mixing, packing, quality_rules, sharding
+from . import classifier, embedding_dedup, mixing, packing, quality_rules, sharding
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op3_quality_classifier": classifier.op3_quality_classifier,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_packing": packing.op8_packing,
+        "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.op1_sql(), "op2_mixing": mixing.op2_sql()}
+    return {"op1_sharding": sharding.op1_sql(), "op2_mixing": mixing.op2_sql(), "op9_embedding_dedup": embedding_dedup.op9_sql()}
