@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, embedding_dedup, mixing, packing, quality_rules, sharding
+from . import classifier, embedding_dedup, licenses, mixing, packing, quality_rules, sharding, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_mixing": mixing.op2_mixing,
         "op3_quality_classifier": classifier.op3_quality_classifier,
+        "op4_warc": warc.op4_warc,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_packing": packing.op8_packing,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.op1_sql(), "op2_mixing": mixing.op2_sql(), "op9_embedding_dedup": embedding_dedup.op9_sql()}
+    return {"op1_sharding": sharding.op1_sql(), "op2_mixing": mixing.op2_sql(), "op4_warc": warc.op4_sql(), "op9_embedding_dedup": embedding_dedup.op9_sql()}
