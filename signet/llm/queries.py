@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, embedding_dedup, licenses, mixing, packing, quality_rules, sharding, warc
+from . import classifier, embedding_dedup, jaccard_join, licenses, mixing, packing, quality_rules, sharding, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op3_quality_classifier": classifier.op3_quality_classifier,
         "op4_warc": warc.op4_warc,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_packing": packing.op8_packing,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.op1_sql(), "op2_mixing": mixing.op2_sql(), "op4_warc": warc.op4_sql(), "op9_embedding_dedup": embedding_dedup.op9_sql()}
+    return {"op1_sharding": sharding.op1_sql(), "op2_mixing": mixing.op2_sql(), "op4_warc": warc.op4_sql(), "op5_jaccard_join": jaccard_join.op5_sql(), "op9_embedding_dedup": embedding_dedup.op9_sql()}
