@@ -7,8 +7,8 @@ an unbounded knapsack prices by dynamic programming. Rounded-down patterns take
 leave (less than one sequence a pattern) is packed first-fit decreasing. The plan goes to the executors as
 a few arrays; pieces are ranked within their length and take the pattern's places by rank.
 
-Tokens are made once, in one pass that keeps ids by word: white space always splits this vocabulary's words, so
-a text's ids are its words' ids in a row.
+Tokens are made once, in one pass that keeps ids by pieces of words: this vocabulary never joins over white space, nor
+Latin letters with ASCII digits or signs, so a text's ids are its pieces' ids in a row.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from . import words as W
 from .common import Table
 
 SEQ, UNIT, END = 2048, 8, 1
-#: Words a worker keeps the ids of.
-KEPT_WORDS = 300_000
+#: Pieces of words a worker keeps the ids of, in arrays of about 40 bytes each.
+KEPT_WORDS = 4_000_000
 #: Hash buckets by which the pieces of one length are ranked, so that no length is one task.
 BUCKETS = 256
 
@@ -113,8 +113,37 @@ def places(patterns: list[tuple[np.ndarray, int]], bins: int) -> tuple[dict[int,
     return {i: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for i, v in found.items() if v}, first
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first): pieces of words that this vocabulary's pre-tokenizer never joins.
+
+    Besides white space it always parts Latin letters from ASCII digits and signs. Words with an apostrophe
+    (contractions) or `<` (special tokens) stay whole and keep their case; all others are lower-cased in A-Z.
+    """
+    starts, ends, _ = W.spans(data, offsets)
+    after = np.append(data[1:], 0)
+    lead = (data >= 0xC3) & (data <= 0xC5) & ~((data == 0xC3) & ((after == 0x97) | (after == 0xB7)))
+    letter = _LETTER[data] | lead
+    letter[1:] |= lead[:-1]
+    sign = (data < 0x80) & ~letter & ~W.SPACE[data]
+    cut = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1
+    held = np.concatenate([[0], np.cumsum((data == 0x27) | (data == 0x3C))])
+    whole = held[ends] > held[starts]
+    low = W.LOWER[data]
+    for a, b in zip(starts[whole], ends[whole], strict=True):
+        low[a:b] = data[a:b]
+    word = np.searchsorted(starts, cut, "right") - 1
+    # a text's first byte can follow another text's last one without a gap: that is a start already
+    cut = cut[(word >= 0) & ~whole[np.maximum(word, 0)] & (starts[np.maximum(word, 0)] < cut)] if len(starts) else cut[:0]
+    starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return low, starts, ends, np.searchsorted(starts, offsets)
+
+
 class Words:
-    """Token ids of words, kept by hash in one growing array."""
+    """Token ids of pieces of words, kept by hash in sorted arrays that a worker keeps over its tasks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,44 +153,54 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.ids, self.start, self.size = {}, np.zeros(1 << 16, np.uint32), [], []
-        self.end = 0
-
-    def _add(self, keys: list[int], texts: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids = e.ids
-            while self.end + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.end : self.end + len(ids)] = ids
-            self.known[key] = len(self.start)
-            self.start.append(self.end)
-            self.size.append(len(ids))
-            self.end += len(ids)
+        self.keys, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, keys: np.ndarray, texts: list[str]) -> None:
+        found = []
+        for lo in range(0, len(texts), 5000):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 5000], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        start = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))])
+        all_keys = np.concatenate([self.keys, keys])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys, self.start, self.size = all_keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first[i] of text i)."""
-        starts, ends, first = W.spans(data, offsets)
+        low, starts, ends, first = parts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        unique, at, inverse = np.unique(W.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > KEPT_WORDS:
+        unique, at, inverse = np.unique(W.word_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > KEPT_WORDS:
             self.clear()
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        for lo in range(0, len(new), 5000):
-            some = new[lo : lo + 5000]
-            self._add([keys[i] for i in some], [data[starts[at[i]] : ends[at[i]]].tobytes().decode("utf-8", "replace") for i in some])
-        known = self.known
-        which = np.array([known[k] for k in keys], np.int64)
-        begin, size = np.array(self.start, np.int64)[which][inverse], np.array(self.size, np.int64)[which][inverse]
+        place = np.searchsorted(self.keys, unique)
+        known = np.zeros(len(unique), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == unique[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            self._add(unique[new], [low[starts[at[i]] : ends[at[i]]].tobytes().decode("utf-8", "replace") for i in new])
+            place = np.searchsorted(self.keys, unique)
+        begin, size = self.start[place][inverse], self.size[place][inverse]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
         return ids, upto[first]
 
 
+_VOCABULARIES: dict[str, Words] = {}
+
+
+def vocabulary_of(path: str) -> Words:
+    """This worker's vocabulary of a file: words met in one task are known in the next."""
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Words(path)
+    return _VOCABULARIES[path]
+
+
 def _cutter(path: str):
     def cut(batches):
-        vocabulary = Words(path)
+        vocabulary = vocabulary_of(path)
         for batch in W.pieces(batches, "text"):
             ids, first = vocabulary.encode(*W.buffers(batch.column(batch.schema.get_field_index("text"))))
             rows = []
