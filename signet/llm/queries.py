@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, embedding_dedup, jaccard_join, licenses, mixing, packing, quality_rules, sharding, warc
+from . import classifier, embedding_dedup, jaccard_join, licenses, mixing, packing, quality_rules, sharding, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_packing": packing.op8_packing,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
