@@ -31,8 +31,9 @@ from .common import Table
 from .suffix_array import END, SEPARATOR, SHIFT, suffix_array
 
 SPAN, GRAM = 50, 20
-#: Windows of one segment at most; text bytes for each bucket; bytes of joined segments for each array.
-LONGEST, BUCKET_BYTES, ARRAY = 512, 8 << 20, 200_000
+#: Windows of one segment at most; text bytes for each bucket; bytes of joined segments for
+#: each array: what Python holds of an array of this size stays in a core's cache.
+LONGEST, BUCKET_BYTES, ARRAY = 512, 8 << 20, 8_000
 _H = np.uint64((1 << 48) - 1)
 _G = np.uint64((1 << 40) - 1)
 NONE, COVERED, PARTLY = 0, 1, 2
@@ -78,7 +79,8 @@ def _segments(data, offsets, number, a, b):
     at = np.flatnonzero(cut)
     size = np.diff(np.append(at, len(p)))
     if size.max() > LONGEST:
-        at = np.concatenate([np.arange(x, x + s, LONGEST) for x, s in zip(at, size, strict=True)])
+        long = np.flatnonzero(size > LONGEST)
+        at = np.sort(np.concatenate([at, *[np.arange(at[k] + LONGEST, at[k] + size[k], LONGEST) for k in long]]))
     start, end = p[at], p[np.append(at[1:], len(p)) - 1] + SPAN
     with np.errstate(over="ignore"):
         whole = W.mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
