@@ -9,7 +9,8 @@ Every byte that lies in a string of SPAN bytes which also starts in a document o
 2. Classes. Segments of an anchor with equal bytes are a class; in a class all but the smallest id are
    covered whole. Where an anchor has several classes, their windows may agree in part: one segment a class
    goes on with its bytes.
-3. Suffix arrays. The segments of an anchor are joined with separators, the suffix array is built by linear
+3. Suffix arrays. Segments are clipped to what they can share (longest agreement left and right of the anchor with
+   any other segment of it), equal ones become one; those of an anchor are joined with separators, the suffix array is built by linear
    grouping (suffix_array.py), and neighbours that agree in SPAN bytes form runs; windows of a run that do not
    belong to its smallest id are covered.
 
@@ -36,11 +37,14 @@ SPAN, GRAM = 50, 20
 LONGEST, BUCKET_BYTES, ARRAY = 512, 8 << 20, 8_000
 _H = np.uint64((1 << 48) - 1)
 _G = np.uint64((1 << 40) - 1)
+_PLACE = np.uint64((1 << 21) - 1)
 NONE, COVERED, PARTLY = 0, 1, 2
 
 
 def segments(data: np.ndarray, offsets: np.ndarray):
-    """(text number, start, end, anchor, class) of all segments, in order; end - start - SPAN + 1 windows each."""
+    """(text number, start, end, anchor, class, place) of all segments, in order; end - start - SPAN + 1 windows each.
+
+    place is where the anchor's string begins, -1 where the segment's windows do not all have it there."""
     out = []
     i, last = 0, len(offsets) - 1
     while i < last:
@@ -52,29 +56,32 @@ def segments(data: np.ndarray, offsets: np.ndarray):
             if j > i + 1:
                 break
         i = j
-    return [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(5)]
+    return [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(6)]
 
 
 def _segments(data, offsets, number, a, b):
     d = data[a:b]
     n, w = len(d), SPAN - GRAM + 1
     if n < SPAN:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
     power, inverse = W._powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((d.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        low = W.mix64((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
+        gram = W.mix64((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
+    # least hash of each window and its first place, packed into one number
+    low = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
     m, span = len(low) - w + 1, 1
     while span * 2 <= w:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    low = np.minimum(low[:m], low[w - span : w - span + m])
+    place = (np.minimum(low[:m], low[w - span : w - span + m]) & _PLACE).astype(np.int64)
+    low = gram[place]
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, a, b)))
     p = np.flatnonzero(of[:m] == of[SPAN - 1 : SPAN - 1 + m])
     if not len(p):
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-    low = low[p]
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
+    low, place = low[p], place[p]
     cut = np.concatenate([[True], (low[1:] != low[:-1]) | (np.diff(p) != 1) | (of[p[1:]] != of[p[:-1]])])
     at = np.flatnonzero(cut)
     size = np.diff(np.append(at, len(p)))
@@ -84,7 +91,8 @@ def _segments(data, offsets, number, a, b):
     start, end = p[at], p[np.append(at[1:], len(p)) - 1] + SPAN
     with np.errstate(over="ignore"):
         whole = W.mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return of[start] + number, start + a, end + a, low[at] & _H, whole & _G
+    fixed = end - SPAN <= place[at]
+    return of[start] + number, start + a, end + a, low[at] & _H, whole & _G, np.where(fixed, place[at] + a, -1)
 
 
 def _pack(h: np.ndarray, g: np.ndarray) -> bytes:
@@ -119,7 +127,7 @@ def _deal(buckets: int):
     def run(batches):
         for batch in W.pieces(batches, "text"):
             key, rank = _numbers(batch, "key"), _numbers(batch, "rank")
-            text, _, _, h, g = segments(*W.buffers(batch.column(batch.schema.get_field_index("text"))))
+            text, _, _, h, g, _ = segments(*W.buffers(batch.column(batch.schema.get_field_index("text"))))
             if not len(text):
                 continue
             with np.errstate(over="ignore"):
@@ -190,9 +198,9 @@ def _by_text(table: pa.Table) -> pa.Table:
 
 
 def _stated(batch, buckets: int):
-    """(text number, start, end, anchor, state) of the segments with a state, of texts joined with their states."""
+    """(text number, start, end, anchor, place, state) of the segments with a state, of texts joined with their states."""
     data, offsets = W.buffers(batch.column(batch.schema.get_field_index("text")))
-    text, start, end, h, _ = segments(data, offsets)
+    text, start, end, h, _, place = segments(data, offsets)
     state = np.zeros(len(text), np.uint8)
     first = np.searchsorted(text, np.arange(len(offsets)))
     for i, raw in enumerate(batch.column(batch.schema.get_field_index("states")).to_pylist()):
@@ -202,20 +210,20 @@ def _stated(batch, buckets: int):
             part[np.argsort(_bucket(h[own], buckets), kind="stable")] = np.frombuffer(raw, np.uint8)
             state[own] = part
     some = state > 0
-    return data, offsets, text[some], start[some], end[some], h[some], state[some]
+    return data, offsets, text[some], start[some], end[some], h[some], place[some], state[some]
 
 
 def _material(buckets: int):
-    types = [("anchor", pa.int64()), ("key", pa.int64()), ("rank", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())]
+    types = [("anchor", pa.int64()), ("key", pa.int64()), ("rank", pa.int64()), ("at", pa.int64()), ("anchor_at", pa.int64()), ("bytes", pa.binary())]
 
     def run(batches):
         for batch in W.pieces(batches, "text"):
             key, rank = _numbers(batch, "key"), _numbers(batch, "rank")
-            data, offsets, text, start, end, h, state = _stated(batch, buckets)
+            data, offsets, text, start, end, h, place, state = _stated(batch, buckets)
             rows = []
             for k in np.flatnonzero(state == PARTLY):
                 i = text[k]
-                rows.append((int(h[k]), int(key[i]), int(rank[i]), int(start[k] - offsets[i]), data[start[k] : end[k]].tobytes()))
+                rows.append((int(h[k]), int(key[i]), int(rank[i]), int(start[k] - offsets[i]), int(place[k] - start[k]) if place[k] >= 0 else -1, data[start[k] : end[k]].tobytes()))
                 if len(rows) == 8192:
                     yield _rows(rows, types)
                     rows = []
@@ -250,36 +258,74 @@ def covered_windows(parts: list[bytes], ranks: list[int], span: int = SPAN) -> l
     return [np.sort(at[by[cuts[k] : cuts[k + 1]]]) for k in range(len(parts))]
 
 
+def _shared_length(anchor: list[int], sides: list[bytes], width: int) -> np.ndarray:
+    """For each side, the longest start that a side of the same anchor shares: with a neighbour in sorted order."""
+    keys = np.frombuffer(b"".join(a.to_bytes(6, "big") + x.ljust(width, b"\0") for a, x in zip(anchor, sides, strict=True)), f"S{6 + width}")
+    order = np.argsort(keys)
+    view = keys.view(np.uint8).reshape(len(keys), 6 + width)[order]
+    differ = view[1:] != view[:-1]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), 6 + width) if len(keys) > 1 else np.zeros(0, np.int64)
+    same = np.maximum(same - 6, 0)
+    out = np.zeros(len(keys), np.int64)
+    out[order] = np.maximum(np.append(0, same), np.append(same, 0))
+    return np.minimum(out, [len(x) for x in sides])
+
+
+def clipped(anchor: list[int], place: list[int], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, after) of each segment's bytes that a window shared with another segment of its anchor can reach.
+
+    A window holds its anchor's string, so what it shares reaches no further left and right of it than the longest
+    agreement with any other segment there. Segments without a fixed place keep all."""
+    reach = SPAN - GRAM
+    first, after = np.zeros(len(raw), np.int64), np.array([len(x) for x in raw], np.int64)
+    rows = [k for k, p in enumerate(place) if p >= 0]
+    if len(rows) < len(raw):
+        # a segment without a place could share with any: anchors that have one are not clipped
+        loose = {anchor[k] for k, p in enumerate(place) if p < 0}
+        rows = [k for k in rows if anchor[k] not in loose]
+    if rows:
+        a, p = [anchor[k] for k in rows], [place[k] for k in rows]
+        left = _shared_length(a, [raw[k][max(0, x - reach) : x][::-1] for k, x in zip(rows, p, strict=True)], reach)
+        right = _shared_length(a, [raw[k][x + GRAM : x + GRAM + reach] for k, x in zip(rows, p, strict=True)], reach)
+        first[rows], after[rows] = np.array(p) - left, np.array(p) + GRAM + right
+    return first, after
+
+
 def _arrays(table: pa.Table) -> pa.Table:
     """Segments of some anchors -> (key, spans) with spans as pairs of int64 (start, end in the text)."""
-    anchor = np.array(table.column("anchor").to_pylist(), np.int64)
-    key, rank, at, raw = (table.column(n).to_pylist() for n in ("key", "rank", "at", "bytes"))
-    order = np.argsort(anchor, kind="stable")
-    bounds = np.flatnonzero(np.concatenate([[True], np.diff(anchor[order]) != 0, [True]]))
+    anchor, key, rank, at, place, raw = (table.column(n).to_pylist() for n in ("anchor", "key", "rank", "at", "anchor_at", "bytes"))
+    first, after = (x.tolist() for x in clipped(anchor, place, raw))
+    order = np.argsort(np.array(anchor, np.int64), kind="stable")
+    ends = np.append(np.diff(np.array(anchor, np.int64)[order]) != 0, True)
     keys, spans = [], []
-    batch: dict[tuple[int, bytes, int], list[int]] = {}
+    batch: dict[tuple[int, bytes], list[int]] = {}
     held = 0
 
     def flush():
         parts = list(batch)
-        for (_, _, _), rows, starts in zip(parts, batch.values(), covered_windows([p[1] for p in parts], [p[2] for p in parts]), strict=True):
+        least = [min(rank[r] for r in rows) for rows in batch.values()]
+        for (_, part), rows, low, starts in zip(parts, batch.values(), least, covered_windows([p for _, p in parts], least), strict=True):
+            whole = np.array([[0, len(part)]], np.int64)
+            own = None
             if len(starts):
                 gap = np.flatnonzero(np.diff(starts) > SPAN)
-                lo, hi = starts[np.concatenate([[0], gap + 1])], starts[np.append(gap, len(starts) - 1)] + SPAN
-                for r in rows:
+                own = np.stack([starts[np.concatenate([[0], gap + 1])], starts[np.append(gap, len(starts) - 1)] + SPAN], axis=1)
+            for r in rows:
+                found = whole if rank[r] > low else own
+                if found is not None:
                     keys.append(key[r])
-                    spans.append((np.stack([lo, hi], axis=1) + at[r]).astype(np.int64).tobytes())
+                    spans.append((found + (at[r] + first[r])).astype(np.int64).tobytes())
         batch.clear()
 
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        for r in order[a:b].tolist():
-            part = (int(anchor[r]), raw[r], rank[r])
+    for r, end in zip(order.tolist(), ends.tolist(), strict=True):
+        if after[r] - first[r] >= SPAN:
+            part = (anchor[r], raw[r][first[r] : after[r]])
             if part in batch:
                 batch[part].append(r)
             else:
                 batch[part] = [r]
-                held += len(raw[r])
-        if held >= ARRAY:
+                held += after[r] - first[r]
+        if end and held >= ARRAY:
             flush()
             held = 0
     if batch:
@@ -293,7 +339,7 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept b
 def _finish(buckets: int, extra: tuple[str, ...], payload: bool):
     def run(batches):
         for batch in W.pieces(batches, "text"):
-            data, offsets, text, start, end, _, state = _stated(batch, buckets)
+            data, offsets, text, start, end, _, _, state = _stated(batch, buckets)
             first = np.searchsorted(text, np.arange(len(offsets)))
             rows = []
             for i, more in enumerate(batch.column(batch.schema.get_field_index("spans")).to_pylist()):
@@ -336,7 +382,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # equal rows have equal states and one key
     state = Table(dealt.groupBy("piece").applyInArrow(_by_text, "key long, states binary").dropDuplicates(["key"]), "states").df
     stated = base.join(state, "key", "left")
-    several = stated.select("key", "rank", "text", "states").mapInArrow(_material(buckets), "anchor long, key long, rank long, at long, bytes binary")
+    several = stated.select("key", "rank", "text", "states").mapInArrow(_material(buckets), "anchor long, key long, rank long, at long, anchor_at long, bytes binary")
     groups = max(1, buckets // 2)
     spans = several.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(_arrays, "key long, spans binary")
     spans = spans.distinct().groupBy("key").agg(F.collect_list("spans").alias("spans"))
