@@ -39,17 +39,17 @@ def write_id_map(ids: DataFrame, path: str) -> None:
 def read_adjacency_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """edges, features (id, pos, val), labels (id, y) and masks (name, split, id) of a file of links, features, labels and masks."""
     doc = spark.read.json(path, multiLine=True)
-    out = {"edges": doc.select(F.posexplode("links").alias("src", "l")).select(F.col("src").cast("long"), F.explode("l").cast("long").alias("dst"), F.lit(1.0).alias("w"))}
+    out = {"edges": doc.select(F.posexplode("links").alias("src", "l")).select(F.col("src").cast("long").alias("src"), F.explode(F.col("l").cast("array<long>")).alias("dst"), F.lit(1.0).alias("w"))}
     if "features" in doc.columns:
-        out["features"] = doc.select(F.posexplode("features").alias("id", "x")).select(F.col("id").cast("long"), F.posexplode("x").alias("pos", "val")).withColumn("val", F.col("val").cast("double"))
+        out["features"] = doc.select(F.posexplode("features").alias("id", "x")).select(F.col("id").cast("long").alias("id"), F.posexplode("x").alias("pos", "val")).withColumn("val", F.col("val").cast("double"))
     if "labels" in doc.columns:
-        out["labels"] = doc.select(F.posexplode("labels").alias("id", "y")).select(F.col("id").cast("long"), F.col("y").cast("int"))
+        out["labels"] = doc.select(F.posexplode("labels").alias("id", "y")).select(F.col("id").cast("long").alias("id"), F.col("y").cast("int").alias("y"))
     masks = []
     for name in ("train_masks", "val_masks", "stopping_masks", "test_mask"):
         if name in doc.columns:
             inner = doc.schema[name].dataType.elementType.typeName() == "array"
             rows = doc.select(F.posexplode(name).alias("split", "m")) if inner else doc.select(F.lit(0).alias("split"), F.col(name).alias("m"))
-            masks.append(rows.select(F.lit(name).alias("name"), "split", F.posexplode("m").alias("id", "on")).filter("on").select("name", "split", F.col("id").cast("long")))
+            masks.append(rows.select(F.lit(name).alias("name"), "split", F.posexplode("m").alias("id", "on")).filter("on").select("name", "split", F.col("id").cast("long").alias("id")))
     if masks:
         whole = masks[0]
         for m in masks[1:]:
