@@ -6,6 +6,7 @@ Work goes over pieces of at most PIECE bytes that end between words, which bound
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,6 +108,20 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
+def trim() -> None:
+    """Gives memory that arrays have left back to the machine: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  other C libraries lack it
+except (OSError, AttributeError):
+    _LIBC = None
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 * PIECE) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about `size` bytes of text at most, or one text."""
     for batch in batches:
@@ -118,6 +133,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 * PIECE)
             j = max(i + 1, int(np.searchsorted(total, base + size, "right")))
             yield batch.slice(i, j - i)
             i = j
+    trim()
 
 
 import pyarrow.compute  # noqa: E402,F401  pa.compute is used above
