@@ -163,13 +163,32 @@ def gat_conv(pairs: DataFrame, nodes: DataFrame, x: DataFrame, weight: Matrix, a
     return with_bias(P.spmm(e, h), bias)
 
 
-def sdr_layer(lists: list[DataFrame], nodes: DataFrame, x: DataFrame, width: int, gats: list[tuple], w1: Matrix, b1: list[float], w2: Matrix, b2: list[float]) -> DataFrame:
+def motif_attention(motifs: DataFrame, nodes: DataFrame, x: DataFrame, gats: list[tuple[Matrix, list[float], list[float]]], slope: float = 0.2) -> DataFrame:
+    """gat_conv over many lists at once: motifs (motif, src, dst), one (weight, a_src, a_dst) for each; outputs side by side.
+
+    All lists share their joins: vectors are made for each motif by literal matrices, and the softmax runs by (motif, target)."""
+    m, out = len(gats), len(gats[0][0][0])
+    lit = lambda v: F.array(*[lit(t) for t in v]) if isinstance(v, list | tuple) else F.lit(float(v))
+    cube = lit([w for w, _, _ in gats])
+    at = F.element_at(F.element_at(cube, F.col("motif") + 1), F.col("pos") + 1)
+    every = x.withColumn("motif", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("motif", "id", "val", F.posexplode(at).alias("pos", "c"))
+    h = every.groupBy("motif", "id", "pos").agg(F.sum(F.col("val") * F.col("c")).alias("val"))
+    side = lambda k: F.element_at(F.element_at(lit([g[k] for g in gats]), F.col("motif") + 1), F.col("pos") + 1)
+    s = h.groupBy("motif", "id").agg(F.sum(side(1) * F.col("val")).alias("ss"), F.sum(side(2) * F.col("val")).alias("sd"))
+    loops = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("motif"), F.col("id").alias("src"), F.col("id").alias("dst"))
+    e = motifs.select("motif", "src", "dst").filter("src <> dst").union(loops).distinct()
+    e = e.join(s.select("motif", F.col("id").alias("src"), "ss"), ["motif", "src"]).join(s.select("motif", F.col("id").alias("dst"), "sd"), ["motif", "dst"])
+    e = e.withColumn("s", leaky(F.col("ss") + F.col("sd"), slope))
+    own = Window.partitionBy("motif", "dst")
+    e = e.withColumn("x", F.exp(F.col("s") - F.max("s").over(own))).withColumn("w", F.col("x") / F.sum("x").over(own))
+    moved = e.select("motif", "src", "dst", "w").join(h.withColumnRenamed("id", "src"), ["motif", "src"]).groupBy("motif", "dst", "pos").agg(F.sum(F.col("w") * F.col("val")).alias("val"))
+    return moved.select(F.col("dst").alias("id"), (F.col("motif") * out + F.col("pos")).cast("int").alias("pos"), "val")
+
+
+def sdr_layer(motifs: DataFrame, nodes: DataFrame, x: DataFrame, width: int, gats: list[tuple], w1: Matrix, b1: list[float], w2: Matrix, b2: list[float]) -> DataFrame:
     """One attention for each motif list, side by side with x, through two dense steps with tanh between."""
-    parts, at = [(x, width)], width
-    for pairs, (w, a_src, a_dst) in zip(lists, gats, strict=True):
-        parts.append((gat_conv(pairs, nodes, x, w, a_src, a_dst), len(w[0])))
-        at += len(w[0])
-    return P.dense(P.activate(P.dense(P.concat(*parts), w1, b1), "tanh"), w2, b2)
+    z = P.concat((x, width), (motif_attention(motifs, nodes, x, gats), len(gats) * len(gats[0][0][0])))
+    return P.dense(P.activate(P.dense(z, w1, b1), "tanh"), w2, b2)
 
 
 def dimpa(edges: DataFrame, nodes: DataFrame, xs: DataFrame, xt: DataFrame, width: int, hops: int = 2, w_s: list[float] | None = None, w_t: list[float] | None = None, fill: float = 0.5) -> DataFrame:

@@ -165,17 +165,15 @@ def snea(edges: DataFrame, nodes: DataFrame, x: DataFrame, width: int, layers: l
 
 def sigat(edges: DataFrame, nodes: DataFrame, x: DataFrame, width: int, gats: list[tuple], w1: Matrix, b1: list[float], w2: Matrix, b2: list[float]) -> DataFrame:
     """Attention over each of the 38 motif lists, side by side with x, through two dense steps."""
-    motifs = S.motif_edges(edges)
-    lists = [motifs.filter(F.col("motif") == k).select("src", "dst") for k in range(len(gats))]
-    return Y.sdr_layer(lists, nodes, x, width, gats, w1, b1, w2, b2)
+    return Y.sdr_layer(S.motif_edges(edges), nodes, x, width, gats, w1, b1, w2, b2)
 
 
 def sdgnn(edges: DataFrame, nodes: DataFrame, x: DataFrame, width: int, layers: list[tuple]) -> DataFrame:
     """Attention layers over the four signed adjacency lists."""
-    own = S.adjacency_lists(edges)
-    lists = [own.filter(F.col("list") == n).select("src", "dst") for n in ("pos_out", "pos_in", "neg_out", "neg_in")]
+    names = F.array(*[F.lit(n) for n in ("pos_out", "pos_in", "neg_out", "neg_in")])
+    motifs = S.adjacency_lists(edges).select((F.array_position(names, F.col("list")) - 1).cast("int").alias("motif"), "src", "dst")
     for gats, w1, b1, w2, b2 in layers:
-        x = Y.sdr_layer(lists, nodes, x, width, gats, w1, b1, w2, b2)
+        x = Y.sdr_layer(motifs, nodes, x, width, gats, w1, b1, w2, b2)
         width = len(b2)
     return x
 

@@ -318,7 +318,6 @@ def _layers() -> None:
     xs = lambda f: [f.features(), shift(f, 0.1), P.scale(f.features(), 2.0), shift(f, -0.1)]
     vec("simpa_undirected", lambda c: simpa(c, False), lambda f: Y.simpa(pos(f), E.negative(f.g), f.nodes, xs(f), 4))
     vec("simpa_directed", lambda c: simpa(c, True), lambda f: Y.simpa(pos(f), E.negative(f.g), f.nodes, xs(f), 4, directed=True))
-    query("gat_conv")(lambda f: long(Y.gat_conv(f.g, f.nodes, f.features(), W(4, 3), [0.1, -0.2, 0.3], [0.2, 0.1, -0.1])))
 
 
 def _vec_query(name: str, build, fn, graph: str) -> None:

@@ -12,6 +12,7 @@ from signet.operators import proximity, splits, structure
 from signet.sources import derived as D
 
 
+from . import layers as Y
 from . import losses, metrics, models
 from .check_sql import Chain, hash_key, r6, uniform
 
@@ -334,9 +335,17 @@ def _models() -> None:
     z = c.concat(*[(h, 2) for h in c.simpa_half(pos, neg, mlp(c, x), mlp(c, x), 2)])
     query("fwd_sssnet", c.sql(vec + c.softmax(c.dense(z, 4, 3, 0.1))))(lambda f: long(models.sssnet(f.g, f.nodes, f.features(), 2, [m, m], W(4, 3), bias(3))["p"]))
     query("fwd_sssnet_link", c.sql(LINK + c.pairs_head(pairs, [(z, 4)], 2, 0.1)))(lambda f: link(models.sssnet_link(f.g, f.nodes, f.features(), f.pairs(), 2, [m, m], W(8, 2), bias(2))))
+    c = Chain()
+    h = c.dense(c.features(), 4, 3)
+    a = c.add(f"select id, sum(val * (case pos when 0 then 0.1 when 1 then -0.2 else 0.3 end)::double) as ss, sum(val * (case pos when 0 then 0.2 when 1 then 0.1 else -0.1 end)::double) as sd from {h} group by id")
+    e = c.add(f"select e.src, e.dst, x.ss + y.sd as s from (select src, dst from g union select id, id from nodes) e join {a} x on x.id = e.src join {a} y on y.id = e.dst")
+    e = c.add(f"select src, dst, exp(case when s >= 0 then s else 0.2 * s end) as x from {e}")
+    e = c.add(f"select src, dst, x / sum(x) over (partition by dst) as w from {e}")
+    query("gat_conv", c.sql(f"select id, pos, {r6('val')} as val from {c.spmm(e, h)}"))(lambda f: long(Y.gat_conv(f.g, f.nodes, f.features(), W(4, 3), [0.1, -0.2, 0.3], [0.2, 0.1, -0.1])))
     query("fwd_sgcn")(lambda f: long(models.sgcn(f.g, f.features(), 4, [(W(8, 2), W(8, 2)), (W(6, 2), W(6, 2))])))
     alpha = [((p * 7) % 5 - 2) / 10 for p in range(4)]
     query("fwd_snea")(lambda f: long(models.snea(f.g, f.nodes, f.features(), 4, [(W(4, 2), W(4, 2), alpha, alpha), (W(2, 2), W(2, 2), alpha, alpha)], W(4, 3), bias(3))))
     gat = (W(4, 2), [0.1, -0.2], [0.2, 0.1])
     query("fwd_sdgnn")(lambda f: long(models.sdgnn(f.g, f.nodes, f.features(), 4, [([gat] * 4, W(12, 4), bias(4), W(4, 4), bias(4))])))
+    query("fwd_sigat")(lambda f: long(models.sigat(f.g, f.nodes, f.features(), 4, [gat] * 38, W(80, 4), bias(4), W(4, 4), bias(4))))
     query("fwd_digcl_encoder")(lambda f: long(models.digcl_encoder(f.g.filter("w > 0"), f.nodes, f.features(), [(W(4, 4), bias(4)), (W(4, 2), bias(2))])))

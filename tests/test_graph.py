@@ -219,3 +219,16 @@ def test_registry_has_no_gaps():
         registry.register()
     assert set(registry.SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 150
     assert models.fixed(2, 2) == [[-0.6, -0.2], [-0.1, 0.3]]
+
+
+def test_motif_attention_equals_single_lists(spark):
+    from signet.plans import layers as Y
+
+    e = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 2, 0), (1, 2, 1)], "motif int, src long, dst long")
+    nodes = spark.range(3)
+    x = G.gaussian_features(nodes, 2)
+    gats = [(models.fixed(2, 2), [0.1, -0.2], [0.3, 0.1]), ([[0.2, 0.1], [-0.3, 0.4]], [0.5, 0.1], [0.2, 0.2])]
+    got = {(r.id, r.pos): r.val for r in Y.motif_attention(e, nodes, x, gats).collect()}
+    for k, (w, a, b) in enumerate(gats):
+        for r in Y.gat_conv(e.filter(F.col("motif") == k), nodes, x, w, a, b).collect():
+            assert math.isclose(got[r.id, 2 * k + r.pos], r.val, abs_tol=1e-12)
