@@ -171,6 +171,33 @@ class Chain:
         out = " union all ".join(f"select h.id, h.pos, h.val * m.att as val from {m} m join {h} h on h.id = m.dst where m.part = {k}" for k, (_, h) in enumerate(parts))
         return self.add(f"select id, pos, sum(val) as val from ({out}) group by id, pos")
 
+    def sgcn(self, x: str, width: int, first: bool) -> str:
+        if first:
+            b = self.dense(self.concat((self.mean("e.w > 0", x), width), (x, width)), 2 * width, 2)
+            u = self.dense(self.concat((self.mean("e.w < 0", x), width), (x, width)), 2 * width, 2)
+        else:
+            h = width // 2
+            xb, xu = self.add(f"select id, pos, val from {x} where pos < {h}"), self.add(f"select id, cast(pos - {h} as integer) as pos, val from {x} where pos >= {h}")
+            b = self.dense(self.concat((self.mean("e.w > 0", xb), h), (self.mean("e.w < 0", xu), h), (xb, h)), 3 * h, 2)
+            u = self.dense(self.concat((self.mean("e.w > 0", xu), h), (self.mean("e.w < 0", xb), h), (xu, h)), 3 * h, 2)
+        return self.concat((b, 2), (u, 2))
+
+    def snea(self, x: str, width: int, first: bool, alpha: str) -> str:
+        pairs = {}
+        for op in (">", "<"):
+            e = self.add(f"select src, dst from g where w {op} 0 and src <> dst")
+            pairs[op] = e, self.add(f"select src, dst from {e} union all select id, id from nodes where id <= (select max(greatest(src, dst)) from {e})")
+        if first:
+            b = self.attention([(pairs[">"][1], self.dense(x, width, 2))], alpha, 2)
+            u = self.attention([(pairs["<"][1], self.dense(x, width, 2))], alpha, 2)
+        else:
+            h = width // 2
+            xb = self.dense(self.add(f"select id, pos, val from {x} where pos < {h}"), h, 2)
+            xu = self.dense(self.add(f"select id, cast(pos - {h} as integer) as pos, val from {x} where pos >= {h}"), h, 2)
+            b = self.attention([(pairs[">"][1], xb), (pairs["<"][0], xu)], alpha, 2)
+            u = self.attention([(pairs[">"][1], xu), (pairs["<"][0], xb)], alpha, 2)
+        return self.concat((b, 2), (u, 2))
+
 
 def uniform(*parts: str) -> str:
     """SQL of the hash-based uniform number; parts are SQL expressions."""

@@ -14,6 +14,7 @@ from signet.operators import edges as E
 from signet.operators import laplacian as L
 from signet.operators import propagate as P
 from signet.operators import structure as S
+from signet.operators.iterate import kept
 
 from . import layers as Y
 
@@ -150,7 +151,7 @@ def msgnn_node(edges, nodes, x, hidden, weights, out, bias, q: float = 0.25, act
 def sgcn(edges: DataFrame, x: DataFrame, width: int, layers: list[tuple[Matrix, Matrix]], normalize: bool = False) -> DataFrame:
     """Signed convolution layers from initial vectors, tanh after each."""
     for k, (b, u) in enumerate(layers):
-        x = P.activate(Y.sgcn_conv(edges, x, width, b, u, first=k == 0, normalize=normalize), "tanh")
+        x = kept(P.activate(Y.sgcn_conv(edges, x, width, b, u, first=k == 0, normalize=normalize), "tanh"))
         width = len(b[0]) + len(u[0])
     return x
 
@@ -158,7 +159,8 @@ def sgcn(edges: DataFrame, x: DataFrame, width: int, layers: list[tuple[Matrix,
 def snea(edges: DataFrame, nodes: DataFrame, x: DataFrame, width: int, layers: list[tuple], out: Matrix, bias: list[float]) -> DataFrame:
     """Signed attention layers, tanh after each, then a linear step with tanh."""
     for k, (w_b, w_u, a_b, a_u) in enumerate(layers):
-        x = P.activate(Y.snea_conv(edges, nodes, x, width, w_b, w_u, a_b, a_u, first=k == 0), "tanh")
+        # a layer reads its input in many places: what it gives is computed once
+        x = kept(P.activate(Y.snea_conv(edges, nodes, x, width, w_b, w_u, a_b, a_u, first=k == 0), "tanh"))
         width = len(w_b[0]) + len(w_u[0])
     return P.activate(P.dense(x, out, bias), "tanh")
 
@@ -173,7 +175,7 @@ def sdgnn(edges: DataFrame, nodes: DataFrame, x: DataFrame, width: int, layers:
     names = F.array(*[F.lit(n) for n in ("pos_out", "pos_in", "neg_out", "neg_in")])
     motifs = S.adjacency_lists(edges).select((F.array_position(names, F.col("list")) - 1).cast("int").alias("motif"), "src", "dst")
     for gats, w1, b1, w2, b2 in layers:
-        x = Y.sdr_layer(motifs, nodes, x, width, gats, w1, b1, w2, b2)
+        x = kept(Y.sdr_layer(motifs, nodes, x, width, gats, w1, b1, w2, b2))
         width = len(b2)
     return x
 

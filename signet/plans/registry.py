@@ -266,40 +266,13 @@ def _layers() -> None:
             conv = Y.magnet_conv if degree == "plain" else Y.ms_conv
             query(name, c.sql(f"select a.id, a.pos, {r6('a.val')} as re, {r6('b.val')} as im from {a} a join {b} b using (id, pos)"), graph)(lambda f, k=k, conv=conv: tidy(conv(f.g, f.nodes, f.complex_features(), [W(3, 2)] * (k + 1)), "re", "im"))
 
-    def sgcn(c: Chain, x: str, width: int, first: bool) -> str:
-        if first:
-            b = c.dense(c.concat((c.mean("e.w > 0", x), width), (x, width)), 2 * width, 2)
-            u = c.dense(c.concat((c.mean("e.w < 0", x), width), (x, width)), 2 * width, 2)
-        else:
-            h = width // 2
-            xb, xu = c.add(f"select id, pos, val from {x} where pos < {h}"), c.add(f"select id, cast(pos - {h} as integer) as pos, val from {x} where pos >= {h}")
-            b = c.dense(c.concat((c.mean("e.w > 0", xb), h), (c.mean("e.w < 0", xu), h), (xb, h)), 3 * h, 2)
-            u = c.dense(c.concat((c.mean("e.w > 0", xu), h), (c.mean("e.w < 0", xb), h), (xu, h)), 3 * h, 2)
-        return c.concat((b, 2), (u, 2))
-
-    vec("sgcn_conv_first", lambda c: sgcn(c, c.features(), 4, True), lambda f: Y.sgcn_conv(f.g, f.features(), 4, W(8, 2), W(8, 2), True))
-    vec("sgcn_conv_deep", lambda c: sgcn(c, c.features(), 4, False), lambda f: Y.sgcn_conv(f.g, f.features(), 4, W(6, 2), W(6, 2), False))
-    vec("sgcn_conv_normalized", lambda c: c.l2(sgcn(c, c.features(), 4, True)), lambda f: Y.sgcn_conv(f.g, f.features(), 4, W(8, 2), W(8, 2), True, True))
+    vec("sgcn_conv_first", lambda c: c.sgcn(c.features(), 4, True), lambda f: Y.sgcn_conv(f.g, f.features(), 4, W(8, 2), W(8, 2), True))
+    vec("sgcn_conv_deep", lambda c: c.sgcn(c.features(), 4, False), lambda f: Y.sgcn_conv(f.g, f.features(), 4, W(6, 2), W(6, 2), False))
+    vec("sgcn_conv_normalized", lambda c: c.l2(c.sgcn(c.features(), 4, True)), lambda f: Y.sgcn_conv(f.g, f.features(), 4, W(8, 2), W(8, 2), True, True))
     alpha, ALPHA = [((p * 7) % 5 - 2) / 10 for p in range(4)], "((p * 7) % 5 - 2) / 10"
 
-    def snea(c: Chain, x: str, width: int, first: bool) -> str:
-        pairs = {}
-        for op in (">", "<"):
-            e = c.add(f"select src, dst from g where w {op} 0 and src <> dst")
-            pairs[op] = e, c.add(f"select src, dst from {e} union all select id, id from nodes where id <= (select max(greatest(src, dst)) from {e})")
-        if first:
-            b = c.attention([(pairs[">"][1], c.dense(x, width, 2))], ALPHA, 2)
-            u = c.attention([(pairs["<"][1], c.dense(x, width, 2))], ALPHA, 2)
-        else:
-            h = width // 2
-            xb = c.dense(c.add(f"select id, pos, val from {x} where pos < {h}"), h, 2)
-            xu = c.dense(c.add(f"select id, cast(pos - {h} as integer) as pos, val from {x} where pos >= {h}"), h, 2)
-            b = c.attention([(pairs[">"][1], xb), (pairs["<"][0], xu)], ALPHA, 2)
-            u = c.attention([(pairs[">"][1], xu), (pairs["<"][0], xb)], ALPHA, 2)
-        return c.concat((b, 2), (u, 2))
-
-    vec("snea_conv_first", lambda c: snea(c, c.features(), 4, True), lambda f: Y.snea_conv(f.g, f.nodes, f.features(), 4, W(4, 2), W(4, 2), alpha, alpha, True))
-    vec("snea_conv_deep", lambda c: snea(c, c.features(), 4, False), lambda f: Y.snea_conv(f.g, f.nodes, f.features(), 4, W(2, 2), W(2, 2), alpha, alpha, False))
+    vec("snea_conv_first", lambda c: c.snea(c.features(), 4, True, ALPHA), lambda f: Y.snea_conv(f.g, f.nodes, f.features(), 4, W(4, 2), W(4, 2), alpha, alpha, True))
+    vec("snea_conv_deep", lambda c: c.snea(c.features(), 4, False, ALPHA), lambda f: Y.snea_conv(f.g, f.nodes, f.features(), 4, W(2, 2), W(2, 2), alpha, alpha, False))
 
     def dimpa(c: Chain) -> str:
         x = c.features()

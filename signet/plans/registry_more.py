@@ -342,9 +342,13 @@ def _models() -> None:
     e = c.add(f"select src, dst, exp(case when s >= 0 then s else 0.2 * s end) as x from {e}")
     e = c.add(f"select src, dst, x / sum(x) over (partition by dst) as w from {e}")
     query("gat_conv", c.sql(f"select id, pos, {r6('val')} as val from {c.spmm(e, h)}"))(lambda f: long(Y.gat_conv(f.g, f.nodes, f.features(), W(4, 3), [0.1, -0.2, 0.3], [0.2, 0.1, -0.1])))
-    query("fwd_sgcn")(lambda f: long(models.sgcn(f.g, f.features(), 4, [(W(8, 2), W(8, 2)), (W(6, 2), W(6, 2))])))
+    c = Chain()
+    z = c.act(c.sgcn(c.act(c.sgcn(c.features(), 4, True), "tanh(val)"), 4, False), "tanh(val)")
+    query("fwd_sgcn", c.sql(vec + z))(lambda f: long(models.sgcn(f.g, f.features(), 4, [(W(8, 2), W(8, 2)), (W(6, 2), W(6, 2))])))
     alpha = [((p * 7) % 5 - 2) / 10 for p in range(4)]
-    query("fwd_snea")(lambda f: long(models.snea(f.g, f.nodes, f.features(), 4, [(W(4, 2), W(4, 2), alpha, alpha), (W(2, 2), W(2, 2), alpha, alpha)], W(4, 3), bias(3))))
+    c, text = Chain(), "((p * 7) % 5 - 2) / 10"
+    z = c.act(c.snea(c.act(c.snea(c.features(), 4, True, text), "tanh(val)"), 4, False, text), "tanh(val)")
+    query("fwd_snea", c.sql(vec + c.act(c.dense(z, 4, 3, 0.1), "tanh(val)")))(lambda f: long(models.snea(f.g, f.nodes, f.features(), 4, [(W(4, 2), W(4, 2), alpha, alpha), (W(2, 2), W(2, 2), alpha, alpha)], W(4, 3), bias(3))))
     gat = (W(4, 2), [0.1, -0.2], [0.2, 0.1])
     query("fwd_sdgnn")(lambda f: long(models.sdgnn(f.g, f.nodes, f.features(), 4, [([gat] * 4, W(12, 4), bias(4), W(4, 4), bias(4))])))
     query("fwd_sigat")(lambda f: long(models.sigat(f.g, f.nodes, f.features(), 4, [gat] * 38, W(80, 4), bias(4), W(4, 4), bias(4))))
