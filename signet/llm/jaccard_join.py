@@ -5,15 +5,16 @@ entities with a Jaccard index of LIMIT or more must end in one component:
 
 1. Bound by tokens. In hash order, two linked sets share k tokens of their first |x| - ceil(LIMIT |x|) + k, for
    any k; with k = floor(SLACK |x|), an entity is dropped for good unless enough of its leading tokens occur in
-   another entity. Documents that merely share a passage go here.
-2. Groups. A remaining entity goes to the group of the leader with which it shares most leading tokens; the
-   pair is verified, and verified pairs connect groups.
-3. Token-group matrix. For each token the groups that hold it are known as a union over the groups' members.
-   A link that is still missing runs between two groups, so all tokens it shares lie in the union of another
-   group: an entity opens other groups only if such tokens reach the bound of step 1 (now counted against
-   other groups instead of other entities).
-4. Open groups. Members of opened groups that share enough leading tokens are verified; the links found join
-   groups, and the components are what the result names.
+   another entity. Documents that merely share a passage go here. What is left is counted again over whole sets.
+2. Groups. A remaining entity goes to the group of the leader with which it shares most leading tokens: of the
+   entities that have a token, the one whose leading tokens are shared most. Groups are similar documents, linked
+   or not.
+3. Token-group matrix. For each token, the groups whose union holds it. Only entities that share LIMIT of their
+   tokens with other groups' unions go on. A query entity opens a group only if
+   enough of its leading tokens lie in the group's union (the bound of step 1, now with k tokens against the
+   union), and its own group always.
+4. Open groups. A group's members and its queries are dealt in blocks; whole sets of two blocks are intersected
+   by matrix products, and a block returns the edges of a spanning forest of its links, never all pairs.
 
 All of it is exact: bounds are necessary conditions, and links are verified on whole sets. Tokens travel as
 packed arrays, dealt by hash into buckets whose number follows the input; a token of many documents costs one
@@ -35,8 +36,10 @@ WINDOW, PERCENT = 5, 80
 SLACK = 0.15
 #: Bytes of text for each token bucket; a bucket's tokens are one task's arrays.
 BUCKET_BYTES = 8 << 20
-#: Entities a token may have for its pairs to be made in one piece; longer lists are made in blocks of this size.
-RUN = 4096
+#: Bits of the map of the survivors' ids.
+BITS = 1 << 23
+#: Tokens of one bucket where whole sets are dealt; entities of a block that is compared at once.
+BUCKET_TOKENS, BLOCK = 1_000_000, 2048
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -91,7 +94,7 @@ def _deal(entities: np.ndarray, tokens: list[np.ndarray], buckets: int, extra: n
         own = order[cuts[b] : cuts[b + 1]]
         if len(own):
             who, n = np.unique(owner[own], return_counts=True)
-            yield b, piece, (entities[who] if extra is None else np.stack([entities[who], extra[who]])).tobytes(), n.astype(np.int32).tobytes(), flat[own].tobytes()
+            yield b, piece, (entities[who] if extra is None else np.concatenate([entities[who][None, :], extra[:, who]])).tobytes(), n.astype(np.int32).tobytes(), flat[own].tobytes()
 
 
 _BLOB_TYPES = [("bucket", pa.int32()), ("piece", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]
@@ -148,36 +151,46 @@ def _shared(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_shared(grouped: bool):
-    """Bucket -> for each blob, how many of each entity's tokens also occur with another owner (entity, or group)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        docs = table.filter(pa.compute.is_null(table.column("tokens"))) if not grouped else table.slice(0, 0)
-        blobs = table.filter(pa.compute.is_valid(table.column("tokens")))
-        at = blobs.schema.get_field_index("ids")
-        ids, sizes, tokens = _unpack(blobs, at)
-        rows = []
-        if ids:
-            who = [(x.reshape(2, -1)[1] if grouped else x) for x in ids]
-            owner = np.concatenate([np.repeat(w, s) for w, s in zip(who, sizes, strict=True)])
-            shared = _shared(np.concatenate(tokens), owner)
-            lo = 0
-            for piece, x, s in zip(blobs.column("piece").to_pylist(), ids, sizes, strict=True):
-                hi = lo + int(s.sum())
-                counts = np.add.reduceat(shared[lo:hi].astype(np.int32), np.concatenate([[0], np.cumsum(s)[:-1]]).astype(np.int64))
-                lo, hit = hi, counts > 0
-                if hit.any():
-                    e = (x.reshape(2, -1)[0] if grouped else x)[hit]
-                    rows.append((piece, e.tobytes(), counts[hit].astype(np.int32).tobytes()))
-        out = pa.table({"piece": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
-        none = lambda t: pa.nulls(len(out), t)
-        out = out.append_column("id", none(pa.int64())).append_column("n", none(pa.int64())).append_column("e", none(pa.int64()))
-        if len(docs):
-            kept = pa.table({"piece": pa.nulls(len(docs), pa.int64()), "ids": pa.nulls(len(docs), pa.binary()), "counts": pa.nulls(len(docs), pa.binary()), **{c: docs.column(c) for c in ("id", "n", "e")}})
-            out = pa.concat_tables([kept, out])
-        return out
-
-    return run
+def _count_shared(table: pa.Table) -> pa.Table:
+    """Bucket -> for each blob, how many of each entity's tokens another entity has too; the documents' rows pass."""
+    docs = table.filter(pa.compute.is_null(table.column("tokens")))
+    blobs = table.filter(pa.compute.is_valid(table.column("tokens")))
+    ids, sizes, tokens = _unpack(blobs, blobs.schema.get_field_index("ids"))
+    rows = []
+    if ids:
+        owner = np.concatenate([np.repeat(w, s) for w, s in zip(ids, sizes, strict=True)])
+        shared = _shared(np.concatenate(tokens), owner)
+        lo = 0
+        for piece, x, s in zip(blobs.column("piece").to_pylist(), ids, sizes, strict=True):
+            hi = lo + int(s.sum())
+            counts = np.add.reduceat(shared[lo:hi].astype(np.int32), np.concatenate([[0], np.cumsum(s)[:-1]]).astype(np.int64))
+            lo, hit = hi, counts > 0
+            if hit.any():
+                rows.append((piece, x[hit].tobytes(), counts[hit].astype(np.int32).tobytes()))
+    none = lambda n, t: pa.nulls(n, t)
+    counted = pa.table({"piece": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()), **{c: none(len(rows), pa.int64()) for c in ("id", "n", "e")}})
+    passed = pa.table({"piece": none(len(docs), pa.int64()), "ids": none(len(docs), pa.binary()), "counts": none(len(docs), pa.binary()), **{c: docs.column(c) for c in ("id", "n", "e")}})
+    return pa.concat_tables([passed, counted])
+
+
+def _crossing(table: pa.Table, ids: list, sizes: list, owner: np.ndarray, flat: np.ndarray) -> pa.Table:
+    """(piece, ids, counts): for each blob, how many of each entity's tokens another owner has too."""
+    shared = _shared(flat, owner)
+    rows, lo = [], 0
+    for piece, x, s in zip(table.column("piece").to_pylist(), ids, sizes, strict=True):
+        hi = lo + int(s.sum())
+        counts = np.add.reduceat(shared[lo:hi].astype(np.int32), np.concatenate([[0], np.cumsum(s)[:-1]]).astype(np.int64))
+        lo, hit = hi, counts > 0
+        if hit.any():
+            rows.append((piece, x.reshape(-1, len(s))[0][hit].tobytes(), counts[hit].astype(np.int32).tobytes()))
+    return pa.table({"piece": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _count_crossing(table: pa.Table) -> pa.Table:
+    """Bucket -> for each blob, how many of each entity's tokens the union of another group has too."""
+    ids, sizes, tokens = _unpack(table, table.schema.get_field_index("ids"))
+    group = np.concatenate([np.repeat(w.reshape(-1, len(s))[1], s) for w, s in zip(ids, sizes, strict=True)])
+    return _crossing(table, ids, sizes, group, np.concatenate(tokens))
 
 
 COUNTS = "piece long, ids binary, counts binary, id long, n long, e long"
@@ -200,91 +213,163 @@ def _survivors(counts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
-    """(e, n, tokens) of the survivors' texts."""
-    types = [("e", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())]
+    """(e, n, weight, tokens) of the survivors' texts; a row whose id another text bears too is left to that text."""
+    types = [("e", pa.int64()), ("n", pa.int64()), ("weight", pa.int64()), ("tokens", pa.binary())]
     for batch in W.pieces(batches, "text"):
-        e = batch.column(batch.schema.get_field_index("e")).to_pylist()
-        yield _batch([(e[k], len(t), t.tobytes()) for k, t in enumerate(shingle_sets(batch, "text"))], types)
+        e, weight = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("e", "weight"))
+        rows = [(e[k], len(t), weight[k], t.tobytes()) for k, t in enumerate(shingle_sets(batch, "text")) if len(t) and entity(t) == e[k]]
+        yield _batch(rows, types)
 
 
-def _dealer(buckets: int, whole: bool, grouped: bool):
+def _dealer(buckets: int, whole: bool, marked: bool):
+    """Sets dealt by token with each entity's g; all tokens or leading ones; marked: with the last leading token too."""
+
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                e = np.array(part.column(part.schema.get_field_index("e")).to_pylist(), np.int64)
-                tokens = [np.frombuffer(x, np.uint64) for x in part.column(part.schema.get_field_index("tokens")).to_pylist()]
-                extra = np.array(part.column(part.schema.get_field_index("g")).to_pylist(), np.int64) if grouped else None
-                if not whole:
-                    tokens = [t[: int(prefix(np.array([len(t)]))[0])] for t in tokens]
-                if len(e):
-                    rows = list(_deal(e, tokens, buckets, extra))
-                    for a in range(0, len(rows), 2000):
-                        yield _batch(rows[a : a + 2000], _BLOB_TYPES)
+                get = lambda n: part.column(part.schema.get_field_index(n)).to_pylist()
+                e, g = np.array(get("e"), np.int64), np.array(get("g"), np.int64)
+                tokens = [np.frombuffer(x, np.uint64) for x in get("tokens")]
+                if not len(e):
+                    continue
+                ahead = [t[: int(prefix(np.array([len(t)]))[0])] for t in tokens]
+                extra = np.stack([g, np.array([t[-1] for t in ahead], np.uint64).view(np.int64)]) if marked else g[None, :]
+                rows = list(_deal(e, tokens if whole else ahead, buckets, extra))
+                for a in range(0, len(rows), 2000):
+                    yield _batch(rows[a : a + 2000], _BLOB_TYPES)
 
     return run
 
 
-def _leaders(table: pa.Table) -> pa.Table:
-    """(e, leader, shared): tokens of e in the bucket whose first entity is the leader."""
+def _meet(table: pa.Table) -> pa.Table:
+    """Bucket -> leaders (e, leader, shared): leading tokens of e whose heaviest entity is the leader; and for each blob
+    how many of each entity's tokens other entities have (piece, ids, counts)."""
     ids, sizes, tokens = _unpack(table, table.schema.get_field_index("ids"))
-    owner = np.concatenate([np.repeat(w, s) for w, s in zip(ids, sizes, strict=True)])
+    own, weight, leads = (np.concatenate([np.repeat(w.reshape(3, -1)[k], s) for w, s in zip(ids, sizes, strict=True)]) for k in range(3))
     flat = np.concatenate(tokens)
-    order, starts = _runs(flat)
-    own = owner[order]
-    first = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(flat))))
+    counted = _crossing(table, ids, sizes, own, flat)
+    lead = flat <= leads.view(np.uint64)
+    flat, own, weight = flat[lead], own[lead], weight[lead]
+    order = np.lexsort((own, -weight, flat))
+    flat, own = flat[order], own[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    first = np.repeat(own[starts], np.diff(np.append(starts, len(flat))))
     off = own != first
-    pair, n = np.unique(np.stack([own[off], first[off]]), axis=1, return_counts=True)
-    return pa.table({"e": pa.array(pair[0]), "leader": pa.array(pair[1]), "shared": pa.array(n.astype(np.int64))})
+    own, first = own[off], first[off]
+    order = np.lexsort((first, own))
+    own, first = own[order], first[order]
+    at = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (first[1:] != first[:-1])])) if len(own) else np.zeros(0, np.int64)
+    none = lambda n, t: pa.nulls(n, t)
+    led = pa.table({"e": pa.array(own[at]), "leader": pa.array(first[at]), "shared": pa.array(np.diff(np.append(at, len(own))).astype(np.int64)), "piece": none(len(at), pa.int64()), "ids": none(len(at), pa.binary()), "counts": none(len(at), pa.binary())})
+    n = len(counted)
+    return pa.concat_tables([led, pa.table({**{c: none(n, pa.int64()) for c in ("e", "leader", "shared")}, **{c: counted.column(c) for c in ("piece", "ids", "counts")}})])
+
+
+def _open(table: pa.Table) -> pa.Table:
+    """(e, g, shared): leading tokens of e in the bucket that the union of another group g holds; g is above e's group."""
+    ids, sizes, tokens = _unpack(table, table.schema.get_field_index("ids"))
+    entity_, group, leads = (np.concatenate([np.repeat(w.reshape(3, -1)[k], s) for w, s in zip(ids, sizes, strict=True)]) for k in range(3))
+    flat = np.concatenate(tokens)
+    lead = flat <= leads.view(np.uint64)
+    # the matrix: one row for each token and group that holds it
+    order = np.lexsort((group, flat))
+    f, g = flat[order], group[order]
+    keep = np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1])])
+    f, g = f[keep], g[keep]
+    flat, entity_, group = flat[lead], entity_[lead], group[lead]
+    lo, hi = np.searchsorted(f, flat, "left"), np.searchsorted(f, flat, "right")
+    # in a token's row groups ascend: the ones above the entity's own come after it
+    found = []
+    some = np.flatnonzero(hi - lo > 1)
+    made = np.cumsum(hi[some] - lo[some])
+    a = 0
+    while a < len(some):  # about a million at a time, however many groups a token has
+        z = max(a + 1, int(np.searchsorted(made, (made[a - 1] if a else 0) + (1 << 20), "right")))
+        k, a = some[a:z], z
+        n = hi[k] - lo[k]
+        at = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        e, own, other = np.repeat(entity_[k], n), np.repeat(group[k], n), g[at]
+        up = other > own
+        e, other = e[up], other[up]
+        order = np.lexsort((other, e))
+        e, other = e[order], other[order]
+        cut = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (other[1:] != other[:-1])])) if len(e) else np.zeros(0, np.int64)
+        found.append((e[cut], other[cut], np.diff(np.append(cut, len(e)))))
+    cols = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3)]
+    order = np.lexsort((cols[1], cols[0]))
+    e, other, n = (c[order] for c in cols)
+    cut = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (other[1:] != other[:-1])])) if len(e) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n, cut) if len(cut) else np.zeros(0, np.int64)
+    return pa.table({"e": pa.array(e[cut], pa.int64()), "g": pa.array(other[cut], pa.int64()), "shared": pa.array(total.astype(np.int64), pa.int64())})
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048, few: int = 256) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets.
+
+    Tokens that make few pairs add them one by one; tokens of many sets are columns of membership matrices, which
+    are multiplied, some columns at a time."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    of_a, of_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    oa, ob = np.argsort(flat_a, kind="stable"), np.argsort(flat_b, kind="stable")
+    flat_a, of_a, flat_b, of_b = flat_a[oa], of_a[oa], flat_b[ob], of_b[ob]
+    tokens = np.intersect1d(flat_a, flat_b)
+    if not len(tokens):
+        return out
+    la, lb = np.searchsorted(flat_a, tokens), np.searchsorted(flat_b, tokens)
+    na, nb = np.searchsorted(flat_a, tokens, "right") - la, np.searchsorted(flat_b, tokens, "right") - lb
+    light = na * nb <= few
+    k = np.flatnonzero(light)
+    made = np.cumsum(na[k] * nb[k])
+    lo = 0
+    while lo < len(k):  # about a million pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(made, (made[lo - 1] if lo else 0) + (1 << 20), "right")))
+        t, lo = k[lo:hi], hi
+        n = na[t] * nb[t]
+        r = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        width = np.repeat(nb[t], n)
+        x, y = of_a[np.repeat(la[t], n) + r // width], of_b[np.repeat(lb[t], n) + r % width]
+        out += np.bincount(x * len(b) + y, minlength=len(a) * len(b)).reshape(out.shape).astype(np.float32)
+    k = np.flatnonzero(~light)
+    for lo in range(0, len(k), columns):
+        t = k[lo : lo + columns]
+        x, y = np.zeros((len(a), len(t)), np.float32), np.zeros((len(b), len(t)), np.float32)
+        for m, start, size, of in ((x, la, na, of_a), (y, lb, nb, of_b)):
+            at = np.repeat(start[t] - np.concatenate([[0], np.cumsum(size[t])[:-1]]), size[t]) + np.arange(size[t].sum())
+            m[of[at], np.repeat(np.arange(len(t)), size[t])] = 1
+        out += x @ y.T
+    return out
 
 
-def _verify(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Pairs (a, b) whose sets reach the limit: all rows of one b, against b's set."""
+def _compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Queries (left) against members (right) of one group: edges of a forest of their links."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     if not left.num_rows or not right.num_rows:
         return none
-    mine = np.frombuffer(right.column("tokens_b")[0].as_py(), np.uint64)
-    a = []
-    for e, raw in zip(left.column("a").to_pylist(), left.column("tokens_a").to_pylist(), strict=True):
-        other = np.frombuffer(raw, np.uint64)
-        at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-        both = int((mine[at] == other).sum())
-        if 100 * both >= PERCENT * (len(mine) + len(other) - both):
-            a.append(e)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([key[0].as_py()] * len(a), pa.int64())}) if a else none
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) whose Jaccard index reaches the limit."""
-    left = pairs.join(sets.select(F.col("e").alias("a"), F.col("tokens").alias("tokens_a")), "a").select("b", "a", "tokens_a")
-    right = sets.select(F.col("e").alias("b"), F.col("tokens").alias("tokens_b")).join(pairs.select("b").distinct(), "b", "left_semi")
-    # a leader of very many entities is dealt out over parts, each with the leader's set
-    parts = 16
-    left = left.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)))
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    return left.groupBy("b", "part").cogroup(right.groupBy("b", "part")).applyInArrow(_verify, "a long, b long")
-
-
-def _cross_pairs(table: pa.Table) -> pa.Table:
-    """(a, b) once for each leading token that two entities of different groups share, if their sizes allow a link."""
-    ids, sizes, tokens = _unpack(table, table.schema.get_field_index("ids"))
-    e = np.concatenate([np.repeat(w.reshape(2, -1)[0], s) for w, s in zip(ids, sizes, strict=True)])
-    g = np.concatenate([np.repeat(w.reshape(2, -1)[1], s) for w, s in zip(ids, sizes, strict=True)])
-    flat = np.concatenate(tokens)
-    order, starts = _runs(flat)
-    ends = np.append(starts[1:], len(flat))
-    found: list[np.ndarray] = []
-    for lo, hi in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-        own = order[lo:hi]
-        for i in range(0, len(own), RUN):
-            for j in range(i, len(own), RUN):
-                x, y = own[i : i + RUN], own[j : j + RUN]
-                p, q = np.nonzero((g[x][:, None] != g[y][None, :]) & (e[x][:, None] < e[y][None, :])) if i == j else np.nonzero(g[x][:, None] != g[y][None, :])
-                if len(p):
-                    a, b = e[x[p]], e[y[q]]
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-    pair, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True) if found else (np.zeros((2, 0), np.int64), np.zeros(0))
-    return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1]), "shared": pa.array(n.astype(np.int64))})
+    read = lambda t: (np.array(t.column(3).to_pylist(), np.int64), [np.frombuffer(x, np.uint64) for x in t.column(4).to_pylist()])
+    (ea, a), (eb, b) = read(left), read(right)
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    both = overlaps(a, b)
+    hit = (100 * both >= PERCENT * (na[:, None] + nb[None, :] - both)) & (ea[:, None] != eb[None, :])
+    if key[1].as_py() == key[2].as_py():  # a block against itself meets each pair twice
+        hit &= ea[:, None] < eb[None, :]
+    names, where = np.unique(np.concatenate([ea, eb]), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = []
+    for x, y in zip(*np.nonzero(hit), strict=True):
+        p, q = find(int(where[x])), find(int(where[len(ea) + y]))
+        if p != q:
+            parent[q] = p
+            edges.append((int(ea[x]), int(eb[y])))
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())}) if edges else none
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,33 +384,58 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     buckets = max(1, -(-volume // BUCKET_BYTES))
     doc_fields = "id long, n long, e long"
     dealt = narrow.mapInArrow(_first_pass(buckets), f"{BLOBS}, {doc_fields}")
-    counts = Table(dealt.groupBy("bucket").applyInArrow(_count_shared(False), COUNTS), "counts")
+    counts = Table(dealt.groupBy("bucket").applyInArrow(_count_shared, COUNTS), "counts")
     docs = counts.df.filter("e is not null").select("id", "n", "e")
     reps = docs.filter("n > 0").groupBy("e").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    alive = Table(_survivors(counts.df, reps).filter("rep is not null").select("e", "rep"), "alive").df
-    texts = narrow.join(alive, narrow.id == alive.rep).select("e", "text")
-    sets = Table(texts.mapInArrow(_sets, "e long, n long, tokens binary").dropDuplicates(["e"]), "sets").df
-    held = sets.agg(F.sum("n")).first()[0] or 0
-    few = max(1, -(-held // 4_000_000))
-
-    near = sets.mapInArrow(_dealer(few, False, False), BLOBS).groupBy("bucket").applyInArrow(_leaders, "e long, leader long, shared long")
-    best = near.groupBy("e", "leader").agg(F.sum("shared").alias("shared")).groupBy("e").agg(F.max(F.struct("shared", "leader")).alias("m"))
-    pairs = Table(best.select(F.col("e").alias("a"), F.col("m.leader").alias("b")), "pairs").df
-    links = Table(_verified(pairs, sets), "links").df
-    groups = components(links)
-
-    grouped = Table(sets.join(groups.select(F.col("node").alias("e"), F.col("root").alias("g")), "e", "left").withColumn("g", F.coalesce("g", "e")), "grouped").df
-    matrix = grouped.mapInArrow(_dealer(few, False, True), BLOBS).groupBy("bucket").applyInArrow(_count_shared(True), COUNTS)
-    opened = Table(_survivors(matrix, grouped.select("e", "n")).select("e"), "opened").df
-    rest = grouped.join(opened, "e", "left_semi")
-    cross = rest.mapInArrow(_dealer(few, False, True), BLOBS).groupBy("bucket").applyInArrow(_cross_pairs, "a long, b long, shared long")
-    size = rest.select("e", "n")
-    cross = cross.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    cross = cross.join(size.select(F.col("e").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("e").alias("b"), F.col("n").alias("nb")), "b")
-    low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    cross = cross.filter((low * 100 >= high * PERCENT) & (F.col("shared") >= F.greatest(F.lit(1).cast("long"), (low.cast("double") * F.lit(SLACK)).cast("long"))))
-    more = _verified(Table(cross.select("a", "b"), "cross").df, sets)
-    links = Table(links.union(more), "links").df
+    # an original whose copies differ has all its leading tokens in others: the share is what makes a leader
+    share = (F.col("shared") * 1_000_000 / F.col("n")).cast("long")
+    alive = Table(_survivors(counts.df, reps).filter("rep is not null").select("e", "rep", share.alias("weight")), "alive").df
+    # a bit map of the survivors' ids, of a fixed size, keeps most other texts out of the exchange; what it lets through
+    # wrongly the join drops
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = alive.select(F.pmod(F.xxhash64("rep"), F.lit(BITS)).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    marked = narrow.withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
+    likely = marked.join(F.broadcast(words), "word").filter(F.expr("shiftright(bits, cast(bit % 64 as int)) & 1 = 1")).select("id", "text")  # BITS / 64 rows at most
+    texts = likely.join(alive.hint("merge"), likely.id == alive.rep).select("id", "e", "weight", "text").dropDuplicates(["id", "text"])
+    sets = Table(texts.select("e", "weight", "text").mapInArrow(_sets, "e long, n long, weight long, tokens binary"), "sets").df
+    buckets_of = lambda df: max(1, -(-(df.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
+
+    # one exchange of whole sets: the bound over all tokens, which is LIMIT, and the leaders
+    met = sets.withColumnRenamed("weight", "g").mapInArrow(_dealer(buckets_of(sets), True, True), BLOBS).groupBy("bucket").applyInArrow(_meet, "e long, leader long, shared long, piece long, ids binary, counts binary")
+    met = Table(met, "met").df
+    count = met.filter("piece is not null").select("piece", "ids", "counts").groupBy("piece").applyInArrow(_sum_counts, "e long, shared long")
+    near = Table(sets.select("e", "n").join(count, "e").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("e"), "near").df
+    best = met.filter("leader is not null").groupBy("e", "leader").agg(F.sum("shared").alias("shared")).groupBy("e").agg(F.max(F.struct("shared", "leader")).alias("m")).select("e", "m.leader")
+    best = Table(best.join(near, "e", "left_semi").join(near.withColumnRenamed("e", "leader"), "leader", "left_semi").select("e", "leader"), "leaders").df
+    groups = components(best, "e", "leader").select(F.col("node").alias("e"), F.col("root").alias("g"))
+    placed = Table(near.join(groups, "e", "left").select("e", F.coalesce("g", "e").alias("g")), "placed").df
+    grouped = Table(sets.select("e", "n", "tokens").join(placed.hint("merge"), "e"), "grouped").df
+    few = buckets_of(grouped)
+
+    # a link to another group shares its tokens with that group's union: entities without that many can have none, and
+    # are left out on both sides
+    across = grouped.mapInArrow(_dealer(few, True, False), BLOBS).groupBy("bucket").applyInArrow(_count_crossing, "piece long, ids binary, counts binary")
+    across = across.groupBy("piece").applyInArrow(_sum_counts, "e long, shared long")
+    open_ = Table(grouped.select("e", "n").join(across, "e").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("e"), "open").df
+    facing = grouped.join(open_, "e", "left_semi")
+    matrix = facing.mapInArrow(_dealer(few, True, True), BLOBS).groupBy("bucket").applyInArrow(_open, "e long, g long, shared long")
+    matrix = matrix.groupBy("e", "g").agg(F.sum("shared").alias("shared")).join(grouped.select("e", "n"), "e")
+    crossing = matrix.filter(F.col("shared") >= F.greatest(F.lit(1).cast("long"), (F.col("n") * F.lit(SLACK)).cast("long"))).select("e", "g")
+    opened = Table(crossing, "opened").df
+    shape = grouped.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("m")).join(
+        opened.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb")), "g", "left").withColumn("qb", F.coalesce("qb", F.lit(0)))
+    shape = shape.filter("m > 1 or qb > 0").drop("m")
+    block = lambda n: F.pmod(F.xxhash64("e"), F.col(n)).cast("int")
+    each = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    # members against members: blocks i <= j; queries from other groups: blocks below 0 against all blocks of members
+    own = grouped.select("g", "e", "tokens").join(shape, "g").withColumn("b", block("nb"))
+    asked = opened.join(shape, "g").join(grouped.select("e", "tokens"), "e")
+    last = F.col("nb") - 1
+    left = own.select("g", F.col("b").alias("i"), each(F.col("b"), last).alias("j"), "e", "tokens").union(
+        asked.select("g", (-1 - block("qb")).alias("i"), each(F.lit(0), last).alias("j"), "e", "tokens"))
+    right = own.select(F.col("g").alias("h"), each(-F.col("qb"), F.col("b")).alias("x"), F.col("b").alias("y"), F.col("e").alias("f"), F.col("tokens").alias("t"))
+    links = left.groupBy("g", "i", "j").cogroup(right.groupBy("h", "x", "y")).applyInArrow(_compare, "a long, b long")
+    links = Table(links, "links").df
 
     # components over the entities' smallest ids
     ends = links.join(alive.select(F.col("e").alias("a"), F.col("rep").alias("x")), "a").join(alive.select(F.col("e").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
