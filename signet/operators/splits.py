@@ -92,8 +92,8 @@ def structured_negatives(edges: DataFrame, n: int, seed: int = 0, tries: int = 6
     return free.groupBy("src", "dst").agg(F.min(F.struct("t", "neg")).alias("m")).select("src", "dst", F.col("m.neg").alias("neg"))
 
 
-def link_labels(pairs: DataFrame, edges: DataFrame, task: str) -> DataFrame:
-    """(src, dst, label) of pairs(src, dst) against an adjacency.
+def link_labels(pairs: DataFrame, edges: DataFrame, task: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst, label) of pairs(src, dst) against an adjacency; columns named in keys stay, and pairs are distinct within them.
 
     Directed tasks leave out pairs that are linked in both directions, and pairs linked only backwards: a forward pair
     is class 0 and its reversal class 1, a pair without any link class 2. Signed directed tasks: 0 and 1 for forward
@@ -101,22 +101,22 @@ def link_labels(pairs: DataFrame, edges: DataFrame, task: str) -> DataFrame:
     linked, 1 not. Tasks of fewer classes leave out the higher ones."""
     if task not in TASKS:
         raise ValueError(f"unknown task {task}")
-    p = probe(pairs.select("src", "dst").distinct(), edges)
+    p = probe(pairs.select(*keys, "src", "dst").distinct(), edges)
     forward, absent = (F.col("w") != 0) & (F.col("w_rev") == 0), (F.col("w") == 0) & (F.col("w_rev") == 0)
-    flip = lambda d: d.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label")
+    flip = lambda d: d.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), "label")
     if task == "existence":
-        return p.select("src", "dst", F.when(F.col("w") != 0, 0).otherwise(1).alias("label"))
+        return p.select(*keys, "src", "dst", F.when(F.col("w") != 0, 0).otherwise(1).alias("label"))
     if task == "sign":
-        return p.filter("w <> 0").select("src", "dst", F.when(F.col("w") < 0, 0).otherwise(1).alias("label"))
+        return p.filter("w <> 0").select(*keys, "src", "dst", F.when(F.col("w") < 0, 0).otherwise(1).alias("label"))
     none = p.filter(absent)
     one = p.filter(forward)
     if task in ("direction", "three_class_digraph"):
-        first = one.select("src", "dst", F.lit(0).alias("label"))
+        first = one.select(*keys, "src", "dst", F.lit(0).alias("label"))
         out = first.unionByName(flip(first.withColumn("label", F.lit(1))))
-        return out if task == "direction" else out.unionByName(none.select("src", "dst", F.lit(2).alias("label")))
-    first = one.select("src", "dst", F.when(F.col("w") > 0, 0).otherwise(1).alias("label"))
+        return out if task == "direction" else out.unionByName(none.select(*keys, "src", "dst", F.lit(2).alias("label")))
+    first = one.select(*keys, "src", "dst", F.when(F.col("w") > 0, 0).otherwise(1).alias("label"))
     out = first.unionByName(flip(first.withColumn("label", F.col("label") + 2)))
-    return out if task.startswith("four") else out.unionByName(none.select("src", "dst", F.lit(4).alias("label")))
+    return out if task.startswith("four") else out.unionByName(none.select(*keys, "src", "dst", F.lit(4).alias("label")))
 
 
 def link_split(edges: DataFrame, nodes: DataFrame, n: int, task: str, splits: int = 2, prob_test: float = 0.15, prob_val: float = 0.05, seed: int = 0, maintain_connect: bool = True, ratio: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -154,12 +154,7 @@ def link_split(edges: DataFrame, nodes: DataFrame, n: int, task: str, splits: in
         rank = F.row_number().over(Window.partitionBy("split").orderBy(hash_key(seed, "n", F.col("split"), F.col("src"), F.col("dst")), "src", "dst"))
         extra = spread.withColumn("r", rank).crossJoin(m).withColumn("part", part).filter("part is not null").select("split", "part", "src", "dst")
         dealt = dealt.union(extra)
-    links = None
-    for k in range(splits):
-        for name in ("train", "val", "test"):
-            own = dealt.filter((F.col("split") == k) & (F.col("part") == name))
-            found = link_labels(own, edges, task).select(F.lit(k).alias("split"), F.lit(name).alias("part"), "src", "dst", F.col("label").cast("int").alias("label"))
-            links = found if links is None else links.union(found)
+    links = link_labels(dealt, edges, task, ("split", "part")).withColumn("label", F.col("label").cast("int"))
     train = dealt.filter("part = 'train'").select("split", "src", "dst").distinct()
     observed = train.join(edges.select("src", "dst", "w"), ["src", "dst"]).select("split", "src", "dst", "w")
     return links, observed

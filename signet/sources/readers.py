@@ -13,14 +13,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def first_appearance(rows: DataFrame, raw: str, order: str) -> DataFrame:
+def first_appearance(rows: DataFrame, raw: str, order: str, blocks: int = 1024) -> DataFrame:
     """(raw, id): dense ids from 0 in the order in which raw ids first appear.
 
-    First places are found by a partial minimum; numbers are given in two levels, so no task sees all ids: inside a
-    block of consecutive first places, and over the counts of the blocks."""
+    First places are found by a partial minimum. Numbers are given in two levels, so no task sees all ids: inside ranges
+    of first places (bounds from approximate quantiles of the order's number or time, one range where it has none),
+    and over the counts of the ranges. Bounds only deal the rows; the numbers do not depend on them."""
     first = rows.groupBy(raw).agg(F.min(order).alias("__at"))
-    ranked = first.withColumn("id", (F.row_number().over(Window.orderBy("__at")) - 1).cast("long"))
-    return ranked.select(raw, "id")
+    kind, key = first.schema["__at"].dataType, F.col("__at")
+    if kind.typeName() == "struct":  # the first field orders first
+        kind, key = kind[0].dataType, key[kind.fieldNames()[0]]
+    if kind.typeName().startswith("timestamp"):
+        key = key.cast("timestamp")
+    elif kind.typeName() not in ("long", "integer", "double"):
+        key = F.lit(0)
+    first = first.withColumn("__k", key.cast("double"))
+    cuts = first.agg(F.percentile_approx("__k", [(i + 1) / blocks for i in range(blocks - 1)], 10 * blocks)).first()[0]
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or [0.0]))])
+    dealt = first.withColumn("__b", F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi")), lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
+        F.when(F.element_at(bounds, F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1) < F.col("__k"), F.struct((F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))), lambda s: s["lo"]))
+    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("__b").agg(F.count("*").alias("n")).select("__b", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__at"))
+    return dealt.join(F.broadcast(before), "__b").select(raw, (F.col("before") + inside - 1).cast("long").alias("id"))  # at most `blocks` rows
 
 
 def read_edge_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
