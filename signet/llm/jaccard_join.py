@@ -39,7 +39,7 @@ BUCKET_BYTES = 8 << 20
 #: Bits of the map of the survivors' ids.
 BITS = 1 << 23
 #: Tokens of one bucket where whole sets are dealt; entities of a block that is compared at once.
-BUCKET_TOKENS, BLOCK = 1_000_000, 2048
+BUCKET_TOKENS, BLOCK = 1_000_000, 1024
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -330,7 +330,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048, few:
         r = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         width = np.repeat(nb[t], n)
         x, y = of_a[np.repeat(la[t], n) + r // width], of_b[np.repeat(lb[t], n) + r % width]
-        out += np.bincount(x * len(b) + y, minlength=len(a) * len(b)).reshape(out.shape).astype(np.float32)
+        np.add.at(out.reshape(-1), x * len(b) + y, np.float32(1))
     k = np.flatnonzero(~light)
     for lo in range(0, len(k), columns):
         t = k[lo : lo + columns]
@@ -351,9 +351,6 @@ def _compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
     (ea, a), (eb, b) = read(left), read(right)
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     both = overlaps(a, b)
-    hit = (100 * both >= PERCENT * (na[:, None] + nb[None, :] - both)) & (ea[:, None] != eb[None, :])
-    if key[1].as_py() == key[2].as_py():  # a block against itself meets each pair twice
-        hit &= ea[:, None] < eb[None, :]
     names, where = np.unique(np.concatenate([ea, eb]), return_inverse=True)
     parent = list(range(len(names)))
 
@@ -363,12 +360,17 @@ def _compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
             x = parent[x]
         return x
 
-    edges = []
-    for x, y in zip(*np.nonzero(hit), strict=True):
-        p, q = find(int(where[x])), find(int(where[len(ea) + y]))
-        if p != q:
-            parent[q] = p
-            edges.append((int(ea[x]), int(eb[y])))
+    edges, alike = [], key[1].as_py() == key[2].as_py()
+    for x in range(len(ea)):
+        hit = (100 * both[x] >= PERCENT * (na[x] + nb - both[x])) & (eb != ea[x])
+        if alike:  # a block against itself meets each pair twice
+            hit &= eb > ea[x]
+        for y in np.flatnonzero(hit):
+            p, q = find(int(where[x])), find(int(where[len(ea) + y]))
+            if p != q:
+                parent[q] = p
+                edges.append((int(ea[x]), int(eb[y])))
+    W.trim()
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())}) if edges else none
 
 

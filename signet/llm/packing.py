@@ -26,7 +26,7 @@ from .common import Table
 
 SEQ, UNIT, END = 2048, 8, 1
 #: Pieces of words a worker keeps the ids of, in arrays of about 40 bytes each.
-KEPT_WORDS = 4_000_000
+KEPT_WORDS = 1_000_000
 #: Hash buckets by which the pieces of one length are ranked, so that no length is one task.
 BUCKETS = 256
 
