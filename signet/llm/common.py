@@ -43,11 +43,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of one Arrow batch, where the session has Spark's default: rows here are whole texts.
+BATCH_ROWS = 2500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size from Spark's default, so that batches of texts stay a few megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Table:
     """A DataFrame written once to the shared folder: it cuts lineage, and a lost executor costs nothing."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
+        small_batches(self.spark)
         self.path = table_path(self.spark, name)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
