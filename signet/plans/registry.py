@@ -28,6 +28,11 @@ class Fixture:
         self.spark, self.sf_dir, self.g = spark, sf_dir, make(spark, sf_dir)
         self.nodes = D.endpoints(self.g)
 
+    def size(self) -> int:
+        """One more than the largest id."""
+        top = self.nodes.agg(F.max("id")).first()[0]
+        return 0 if top is None else int(top) + 1
+
     def features(self, dims: int = 4) -> DataFrame:
         x = self.nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("pos"))
         return x.select("id", "pos", ((F.pmod(F.col("id") * 7 + F.col("pos") * 3, F.lit(11)) - 5).cast("double") / 10).alias("val"))

@@ -66,10 +66,10 @@ def _splits() -> None:
     c = Chain()
     drawn = c.add(f"select cast(floor({uniform('0', repr('u'), 'id')} * {n}) as bigint) as src, cast(floor({uniform('0', repr('v'), 'id')} * {n}) as bigint) as dst, id from (select unnest(range(1200)) as id)")
     neg = f"select src, dst from (select src, dst, min(id) as place from {drawn} where src <> dst group by src, dst) p where not exists (select 1 from g where (g.src = p.src and g.dst = p.dst) or (g.src = p.dst and g.dst = p.src)) order by place limit 300"
-    query("negative_sampling", c.sql(neg))(lambda f: splits.negative_samples(f.g, n, 300))
+    query("negative_sampling", c.sql(neg))(lambda f: splits.negative_samples(f.g, f.size(), f.g.count()))
     c = Chain()
     d = c.add(f"select src, dst, t, cast(floor({uniform('0', 'src', 'dst', 't')} * {n}) as bigint) as neg from g, (select unnest(range(6)) as t)")
-    query("structured_negatives", c.sql(f"select src, dst, arg_min(neg, t) as neg from {d} p where not exists (select 1 from g where g.src = p.src and g.dst = p.neg) group by src, dst"))(lambda f: splits.structured_negatives(f.g, n))
+    query("structured_negatives", c.sql(f"select src, dst, arg_min(neg, t) as neg from {d} p where not exists (select 1 from g where g.src = p.src and g.dst = p.neg) group by src, dst"))(lambda f: splits.structured_negatives(f.g, f.size()))
     labels = {
         "existence": "select src, dst, case when w <> 0 then 0 else 1 end as label from p",
         "sign": "select src, dst, case when w < 0 then 0 else 1 end as label from p where w <> 0",
@@ -93,8 +93,8 @@ def _splits() -> None:
             query(f"link_split_{task}", c.sql(got))(lambda f, task=task: splits.link_split(f.g, f.nodes, 1, task, maintain_connect=False)[0])
             query(f"link_split_{task}_observed", c.sql("select split, src, dst, w from p where part = 'train'"))(lambda f, task=task: splits.link_split(f.g, f.nodes, 1, task, maintain_connect=False)[1])
         else:
-            query(f"link_split_{task}")(lambda f, task=task: splits.link_split(f.g, f.nodes, 150, task, splits=1)[0])
-    query("link_split_connected")(lambda f: splits.link_split(f.g, f.nodes, 150, "direction", splits=1)[0])
+            query(f"link_split_{task}")(lambda f, task=task: splits.link_split(f.g, f.nodes, f.size(), task, splits=1)[0])
+    query("link_split_connected")(lambda f: splits.link_split(f.g, f.nodes, f.size(), "direction", splits=1)[0])
 
 
 def _sql_nodes(n: int, k: int, ratio: float, seed: int) -> str:
@@ -230,8 +230,9 @@ def _unlinked(f):
 
 
 def _negatives(f):
-    pos = splits.structured_negatives(f.g.filter("w > 0"), 150)
-    return pos.union(splits.structured_negatives(f.g.filter("w < 0"), 150)).join(f.nodes.select(F.col("id").alias("neg")), "neg", "left_semi").select("src", "dst", "neg")
+    n = f.size()
+    pos = splits.structured_negatives(f.g.filter("w > 0"), n)
+    return pos.union(splits.structured_negatives(f.g.filter("w < 0"), n)).join(f.nodes.select(F.col("id").alias("neg")), "neg", "left_semi").select("src", "dst", "neg")
 
 
 def _metrics() -> None:

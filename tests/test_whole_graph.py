@@ -1,11 +1,13 @@
 """Registered queries work on the whole graph: brute force over all edges of the smallest tables."""
 
+import datetime
 import os
+import random
 from collections import Counter
 
 import pytest
 
-from signet.plans import registry
+from signet.plans import registry, registry_more
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -58,3 +60,29 @@ def test_components_forest_and_core(run, adj):
     assert {r.id for r in run("kcore_peel")} == core(adj, nodes, 4)
     kept = core([p for p in adj if set(p) <= largest], largest, 3)
     assert {(r.src, r.dst): r.w for r in run("extract_network")} == {p: w for p, w in adj.items() if set(p) <= kept}
+
+
+@pytest.fixture(scope="module")
+def sparse(spark, tmp_path_factory):
+    """A folder of events by 400 users, so of a graph with more nodes than sf0.01's."""
+    draw, at = random.Random(3), datetime.datetime(2024, 1, 1)
+    rows = [(at + datetime.timedelta(minutes=i), i, i % 400 if i < 400 else draw.randrange(400), draw.choice(["view", "error"])) for i in range(1200)]
+    folder = str(tmp_path_factory.mktemp("events"))
+    spark.createDataFrame(rows, "ts timestamp, event_id long, user_id long, event_type string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_negatives_come_from_all_nodes(spark, run, sparse):
+    f = registry.Fixture(spark, sparse)
+    adj = {(r.src, r.dst): r.w for r in f.g.collect()}
+    linked = set(adj) | {p[::-1] for p in adj}
+    ask = lambda name: registry.QUERIES[name](spark, sparse).collect()
+    found = {"negative_sampling": [(r.src, r.dst) for r in ask("negative_sampling")]}
+    for task, label in (("existence", 1), ("five_class_signed_digraph", 4)):
+        # the forest's reversed edges are of no drawn pair
+        found[task] = [(r.src, r.dst) for r in ask(f"link_split_{task}") if r.label == label and (r.dst, r.src) not in adj]
+    for pairs in found.values():
+        assert len(set(pairs)) == len(pairs) == len(adj) and not linked & set(pairs)
+        assert all(0 <= x < 400 for p in pairs for x in p) and max(map(max, pairs)) > 390
+    for rows in (ask("structured_negatives"), registry_more._negatives(f).collect()):
+        assert max(r.neg for r in rows) > 390 and all(r.neg < 400 and (r.src, r.dst) in adj for r in rows)
