@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signet.functions import hash_key, uniform
 
 from .edges import probe
+from .iterate import kept
 from .structure import spanning_forest
 
 TASKS = ("existence", "direction", "three_class_digraph", "sign", "four_class_signed_digraph", "five_class_signed_digraph")
@@ -76,20 +77,41 @@ def node_split(labels: DataFrame, splits: int = 10, train=None, val=None, test=N
 
 
 def negative_samples(edges: DataFrame, n: int, count: int, seed: int = 0, tries: int = 4) -> DataFrame:
-    """(src, dst): up to `count` distinct pairs of 0..n-1 that are in the edges in neither direction, no loops.
+    """(src, dst): `count` distinct pairs of 0..n-1 that are in the edges in neither direction, no loops; all such pairs where fewer exist.
 
-    Candidates are drawn by number, so only count * tries of them exist, whatever n is."""
+    Candidates are drawn by number, so only count * tries of them exist, whatever n is. They fall short only where most
+    pairs are linked or asked for, so listing all n * n pairs for the rest is work in proportion to edges and count."""
     drawn = edges.sparkSession.range(count * tries).select((F.floor(uniform(seed, "u", F.col("id")) * n)).alias("src"), (F.floor(uniform(seed, "v", F.col("id")) * n)).alias("dst"), "id")
     drawn = drawn.filter("src <> dst").groupBy("src", "dst").agg(F.min("id").alias("at"))
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    return drawn.join(both, ["src", "dst"], "left_anti").orderBy("at").limit(count).select("src", "dst")
+    found = drawn.join(both, ["src", "dst"], "left_anti").orderBy("at").limit(count).select("src", "dst")
+    short = count - found.count()
+    if short <= 0:
+        return found
+    found = kept(found)
+    every = edges.sparkSession.range(n * n).select(F.floor(F.col("id") / n).alias("src"), (F.col("id") % n).alias("dst")).filter("src <> dst")
+    rest = every.join(both, ["src", "dst"], "left_anti").join(found, ["src", "dst"], "left_anti")
+    return found.union(rest.orderBy(hash_key(seed, "w", F.col("src"), F.col("dst")), "src", "dst").limit(short))
 
 
 def structured_negatives(edges: DataFrame, n: int, seed: int = 0, tries: int = 6) -> DataFrame:
-    """(src, dst, neg): for each edge the first of `tries` drawn nodes that the source has no edge to; edges without one go."""
+    """(src, dst, neg): for each edge the first of `tries` drawn nodes of 0..n-1 that the source has no edge to.
+
+    Where all draws hit links, one of the source's free nodes is chosen by its rank among them; only edges whose source
+    is linked to all nodes go."""
     drawn = edges.select("src", "dst", F.posexplode(F.array(*[F.floor(uniform(seed, F.col("src"), F.col("dst"), t) * n) for t in range(tries)])).alias("t", "neg"))
     free = drawn.join(edges.select("src", F.col("dst").alias("neg")), ["src", "neg"], "left_anti")
-    return free.groupBy("src", "dst").agg(F.min(F.struct("t", "neg")).alias("m")).select("src", "dst", F.col("m.neg").alias("neg"))
+    met = free.groupBy("src", "dst").agg(F.min(F.struct("t", "neg")).alias("m")).select("src", "dst", F.col("m.neg").alias("neg"))
+    unmet = edges.select("src", "dst").distinct().join(met, ["src", "dst"], "left_anti")
+    # free nodes below the i-th link (from 0) are link - i; the r-th free node is r + the number of links with no more than r free nodes below
+    links = edges.filter(F.col("dst").between(0, n - 1)).select("src", F.col("dst").alias("link")).distinct().join(unmet.select("src").distinct(), "src", "left_semi")
+    links = links.withColumn("at", F.col("link") - F.row_number().over(Window.partitionBy("src").orderBy("link")) + 1)
+    room = links.groupBy("src").agg((F.lit(n) - F.count("*")).alias("room"))
+    rank = F.floor(uniform(seed, "rest", F.col("src"), F.col("dst")) * F.col("room"))
+    asked = unmet.join(room, "src").filter("room > 0").select("src", "dst", rank.alias("at"), F.lit(1).alias("asks"))
+    line = links.select("src", F.lit(None).cast("long").alias("dst"), "at", F.lit(0).alias("asks")).union(asked)
+    below = F.sum(1 - F.col("asks")).over(Window.partitionBy("src").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    return met.union(line.withColumn("below", below).filter("asks = 1").select("src", "dst", (F.col("at") + F.col("below")).alias("neg")))
 
 
 def link_labels(pairs: DataFrame, edges: DataFrame, task: str, keys: tuple[str, ...] = ()) -> DataFrame:

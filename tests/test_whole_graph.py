@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from signet.operators import splits
 from signet.plans import registry, registry_more
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,18 @@ def test_negatives_come_from_all_nodes(spark, run, sparse):
         assert all(0 <= x < 400 for p in pairs for x in p) and max(map(max, pairs)) > 390
     for rows in (ask("structured_negatives"), registry_more._negatives(f).collect()):
         assert max(r.neg for r in rows) > 390 and all(r.neg < 400 and (r.src, r.dst) in adj for r in rows)
+
+
+def test_dense_graphs_get_all_negatives(spark):
+    n = 40
+    rows = [(0, b, 1.0) for b in range(38)] + [(1, b, 1.0) for b in range(n)] + [(a, b, 1.0) for a in range(2, n) for b in range(n) if a != b and (a * b) % 9]
+    e = spark.createDataFrame(rows, "src long, dst long, w double")
+    adj = {(a, b) for a, b, _ in rows}
+    free = {(a, b) for a in range(n) for b in range(n) if a != b and (a, b) not in adj and (b, a) not in adj}
+    for count in (len(free) - 5, len(free) + 5):
+        got = [(r.src, r.dst) for r in splits.negative_samples(e, n, count).collect()]
+        assert len(got) == len(set(got)) == min(count, len(free)) and set(got) <= free
+    got = splits.structured_negatives(e, n).collect()
+    assert {(r.src, r.dst) for r in got} == {p for p in adj if p[0] != 1} and len(got) == len(adj) - n
+    assert all(0 <= r.neg < n and (r.src, r.neg) not in adj for r in got)
+    assert {r.neg for r in got if r.src == 0} == {38, 39}
