@@ -225,8 +225,7 @@ def _losses() -> None:
 
 
 def _unlinked(f):
-    both = f.nodes.select(F.col("id").alias("src")).crossJoin(F.broadcast(f.nodes.select(F.col("id").alias("dst")))).filter("(src * 31 + dst * 17) % 97 = 0 and src <> dst")
-    return both.join(E.to_undirected(f.g), ["src", "dst"], "left_anti")
+    return splits.negative_samples(f.g, f.size(), f.g.count())
 
 
 def _negatives(f):

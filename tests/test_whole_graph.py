@@ -102,3 +102,19 @@ def test_dense_graphs_get_all_negatives(spark):
     assert {(r.src, r.dst) for r in got} == {p for p in adj if p[0] != 1} and len(got) == len(adj) - n
     assert all(0 <= r.neg < n and (r.src, r.neg) not in adj for r in got)
     assert {r.neg for r in got if r.src == 0} == {38, 39}
+
+
+def test_pairs_are_all_edges(spark, run, adj):
+    probed = {(r.src, r.dst): (r.w, r.w_rev) for r in run("edge_probe")}
+    assert probed == {(b, a): (adj.get((b, a), 0), w) for (a, b), w in adj.items()}
+    assert {(r.src, r.dst, r.pos) for r in run("pair_gather")} == {(a, b, k) for a, b in adj for k in range(8)}
+    assert {(r.src, r.dst) for r in run("fwd_sssnet_link")} == set(adj)
+
+
+def test_absent_class_of_link_entropy(spark, sparse):
+    f = registry.Fixture(spark, sparse)
+    linked = {(r.src, r.dst) for r in f.g.collect()}
+    none = {(r.src, r.dst) for r in registry_more._unlinked(f).collect()}
+    assert len(none) == len(linked) and not any(p in linked or p[::-1] in linked for p in none)
+    # every node takes part, in numbers that no residue of the ids sets
+    assert len({(a * 31 + b * 17) % 97 for a, b in none}) > 90
