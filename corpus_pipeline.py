@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from signet.llm import classifier, jaccard_join, mixing, packing, suffix_dedup
 from signet.llm.common import Table
@@ -31,7 +32,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null")).select(*COLUMNS)
 
 
-@F.pandas_udf("string")
 def _decoded(kept: pd.Series) -> pd.Series:
     """Text of bytes; where a cut left part of a character, that part goes."""
     return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
@@ -41,7 +41,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without the passages that documents of smaller ids have too; documents with nothing left go."""
     found = suffix_dedup.remove_repeats(docs, keep=("lang", "source"))
     found = found.filter((F.col("n_removed") < F.col("n_bytes")) | (F.col("n_bytes") == 0))
-    return found.withColumn("text", _decoded("kept")).select(F.col("id").alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    decoded = F.pandas_udf(_decoded, StringType())  # made here: a module must load without a session
+    return found.withColumn("text", decoded("kept")).select(F.col("id").alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
