@@ -73,7 +73,7 @@ def long(df: DataFrame) -> DataFrame:
 
 
 VEC = f"select id, pos, {r6('val')} as val from "
-PAIRS = "select src, dst from g where (src + dst) % 7 = 0"
+PAIRS = "select src, dst from g"
 EDGE = f"select src, dst, {r6('w')} as w from "
 
 
@@ -220,11 +220,11 @@ def _structure() -> None:
         parts += [f"select {6 + 16 * k + i}, g.src, g.dst from g join census using (src, dst) where w {op} 0 and {n} > 0" for i, n in enumerate(names)]
     query("motif_edges_38", c.sql(" union all ".join(parts)))(lambda f: structure.motif_edges(f.g))
     query("signed_adj_lists", Chain().sql(" union all ".join(f"select '{n}_out' as list, src, dst from g where w {op} 0 union all select '{n}_in', dst, src from g where w {op} 0" for n, op in (("pos", ">"), ("neg", "<")))))(lambda f: structure.adjacency_lists(f.g))
-    comp = f"with recursive g0 as (select * from ({D.SQL['g_ev']})), g as (select * from g0 where (src * 31 + dst * 17) % 29 = 0), nodes as (select src as id from g0 union select dst from g0), r as (select id as a, id as b from nodes union select r.a, e.dst from r join (select src, dst from g union select dst, src from g) e on e.src = r.b) "
+    comp = f"with recursive g as (select * from ({D.SQL['g_ev']})), nodes as (select src as id from g union select dst from g), r as (select id as a, id as b from nodes union select r.a, e.dst from r join (select src, dst from g union select dst, src from g) e on e.src = r.b) "
     query("weak_components", comp + "select a as id, min(b) as component from r group by a")(lambda f: structure.weak_components(f.g, f.nodes))
     query("largest_component", comp + ", c as (select a as id, min(b) as c from r group by a), s as (select c, count(*) as n from c group by c order by n desc, c limit 1) select id from c join s using (c)")(lambda f: structure.largest_component(f.g, f.nodes))
     chain = Chain(None)
-    chain.add(f"select * from ({D.SQL['g_ev']}) where (src * 31 + dst * 17) % 11 = 0", "g")
+    chain.add(f"select * from ({D.SQL['g_ev']})", "g")
     ids = chain.add("select id from (select src as id from g union select dst from g)")
     for _ in range(10):
         d = chain.add(f"select id, (select count(*) from g where src = n.id and dst in (select id from {ids})) + (select count(*) from g where dst = n.id and src in (select id from {ids})) as d from {ids} n")

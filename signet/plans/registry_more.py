@@ -62,14 +62,10 @@ def _splits() -> None:
     query("node_split_per_class", c2.sql(f"select a.split, a.id, role, s.id is not null as seed from (select split, id, 'train' as role from {t2} union all select split, id, 'val' from {v2} union all select split, id, 'test' from {z2}) a left join {s2} s on s.split = a.split and s.id = a.id"))(lambda f: splits.node_split(f.labels(), 3, train_per_class=10, val_per_class=0.2, test_per_class=0.3, seed_per_class=4))
     c = Chain()
     query("sample_per_class", c.sql(f"select id, y from (select *, row_number() over (partition by y order by {hash_key('5', repr('c'), 'id')}, id) as r, m from (select *, count(*) over (partition by y) as m from ({lab})) where id % 4 <> 0) where r <= floor(m * 0.25)"))(lambda f: splits.sample_per_class(f.labels(), 0.25, 5, forbidden=f.nodes.filter("id % 4 = 0")))
-    n = 200
     c = Chain()
-    drawn = c.add(f"select cast(floor({uniform('0', repr('u'), 'id')} * {n}) as bigint) as src, cast(floor({uniform('0', repr('v'), 'id')} * {n}) as bigint) as dst, id from (select unnest(range(1200)) as id)")
-    neg = f"select src, dst from (select src, dst, min(id) as place from {drawn} where src <> dst group by src, dst) p where not exists (select 1 from g where (g.src = p.src and g.dst = p.dst) or (g.src = p.dst and g.dst = p.src)) order by place limit 300"
-    query("negative_sampling", c.sql(neg))(lambda f: splits.negative_samples(f.g, f.size(), f.g.count()))
+    query("negative_sampling", c.sql(f"select src, dst from {_sql_unlinked(c)}"))(lambda f: splits.negative_samples(f.g, f.size(), f.g.count()))
     c = Chain()
-    d = c.add(f"select src, dst, t, cast(floor({uniform('0', 'src', 'dst', 't')} * {n}) as bigint) as neg from g, (select unnest(range(6)) as t)")
-    query("structured_negatives", c.sql(f"select src, dst, arg_min(neg, t) as neg from {d} p where not exists (select 1 from g where g.src = p.src and g.dst = p.neg) group by src, dst"))(lambda f: splits.structured_negatives(f.g, f.size()))
+    query("structured_negatives", c.sql(f"select src, dst, neg from {_sql_negatives(c, 'g')}"))(lambda f: splits.structured_negatives(f.g, f.size()))
     labels = {
         "existence": "select src, dst, case when w <> 0 then 0 else 1 end as label from p",
         "sign": "select src, dst, case when w < 0 then 0 else 1 end as label from p where w <> 0",
@@ -97,6 +93,28 @@ def _splits() -> None:
     query("link_split_connected")(lambda f: splits.link_split(f.g, f.nodes, f.size(), "direction", splits=1)[0])
 
 
+def _sql_unlinked(c: Chain) -> str:
+    """As many distinct pairs of all node numbers as there are edges, linked in neither direction: drawn, then by hash."""
+    both = c.add("select src, dst from g union select dst, src from g")
+    n, m = "(select max(id) + 1 from nodes)", "(select count(*) from g)"
+    draw = lambda tag: f"cast(floor({uniform('0', repr(tag), 'id')} * {n}) as bigint)"
+    drawn = c.add(f"select src, dst, min(id) as place from (select {draw('u')} as src, {draw('v')} as dst, id from (select unnest(range(4 * {m})) as id)) where src <> dst group by src, dst")
+    found = c.add(f"select src, dst from {drawn} anti join {both} using (src, dst) order by place limit {m}")
+    free = c.add(f"select a as src, b as dst from (select unnest(range({n})) as a), (select unnest(range({n})) as b) where a <> b")
+    rest = c.add(f"select src, dst, row_number() over (order by {hash_key('0', repr('w'), 'src', 'dst')}, src, dst) as r from {free} anti join {both} using (src, dst) anti join {found} using (src, dst)")
+    return c.add(f"select src, dst from {found} union all select src, dst from {rest} where r <= {m} - (select count(*) from {found})")
+
+
+def _sql_negatives(c: Chain, edges: str) -> str:
+    """For each edge the first of six drawn nodes without a link from its source, or one of the free nodes by rank."""
+    n = "(select max(id) + 1 from nodes)"
+    d = c.add(f"select src, dst, t, cast(floor({uniform('0', 'src', 'dst', 't')} * {n}) as bigint) as neg from {edges}, (select unnest(range(6)) as t)")
+    met = c.add(f"select src, dst, arg_min(neg, t) as neg from {d} p where not exists (select 1 from {edges} e where e.src = p.src and e.dst = p.neg) group by src, dst")
+    unmet = c.add(f"select src, dst from {edges} anti join {met} using (src, dst)")
+    free = c.add(f"select s.src, list(x order by x) as room from (select distinct src from {unmet}) s, (select unnest(range({n})) as x) where not exists (select 1 from {edges} e where e.src = s.src and e.dst = x) group by s.src")
+    return c.add(f"select src, dst, neg from {met} union all select src, dst, room[cast(floor({uniform('0', repr('rest'), 'src', 'dst')} * len(room)) as bigint) + 1] from {unmet} join {free} using (src)")
+
+
 def _sql_nodes(n: int, k: int, ratio: float, seed: int) -> str:
     at, cuts = 0, []
     for size in G.block_sizes(n, k, ratio):
@@ -172,13 +190,13 @@ def _losses() -> None:
     sc = scores(c, "g", 1, "w")
     query("loss_triangle", c.sql(f"select {r6(f'sum(tri * -{ls('case when s.w > 0 then s0 else -s0 end')})', 4)} as loss from {sc} s join {tri} using (src, dst)"))(lambda f: tidy(losses.triangle(structure.triangle_weights(f.g), f.g, f.features(), W(8, 1), [0.1], 4), "loss", digits=4))
     c = Chain()
-    c.add("select src, dst, case when w > 0 then 0 else 1 end as y from g union all select a.id, b.id, 2 from nodes a, nodes b where (a.id * 31 + b.id * 17) % 97 = 0 and a.id <> b.id and not exists (select 1 from g where (g.src = a.id and g.dst = b.id) or (g.dst = a.id and g.src = b.id))", "pairs")
+    c.add(f"select src, dst, case when w > 0 then 0 else 1 end as y from g union all select src, dst, 2 from {_sql_unlinked(c)}", "pairs")
     sc = scores(c, "pairs", 3, "y")
     own = "case y when 0 then s0 when 1 then s1 else s2 end"
     query("loss_link_entropy", c.sql(f"select {r6('avg(m)')} as loss from (select y, avg(ln(exp(s0) + exp(s1) + exp(s2)) - {own}) as m from {sc} group by y)"))(lambda f: one(losses.link_entropy(f.g, _unlinked(f), f.features(), W(8, 3), [0.1, 0.2, 0.3], 4)))
     c = Chain()
-    dr = lambda op: f"select src, dst, arg_min(neg, t) as neg from (select src, dst, t, cast(floor({uniform('0', 'src', 'dst', 't')} * 150) as bigint) as neg from g, (select unnest(range(6)) as t) where w {op} 0) p where not exists (select 1 from g where g.w {op} 0 and g.src = p.src and g.dst = p.neg) group by src, dst"
-    t = c.add(f"select a.src, a.dst, a.neg, g.w from ({dr('>')} union all {dr('<')}) a join g using (src, dst) where a.neg in (select id from nodes)")
+    drawn = [_sql_negatives(c, c.add(f"select * from g where w {op} 0")) for op in "><"]
+    t = c.add(f"select a.src, a.dst, a.neg, g.w from (select * from {drawn[0]} union all select * from {drawn[1]}) a join g using (src, dst) where a.neg in (select id from nodes)")
     x = c.features()
     dist = lambda b: f"(select sum((p.val - q.val) * (p.val - q.val)) from {x} p join {x} q on p.pos = q.pos where p.id = t.src and q.id = t.{b})"
     dd = c.add(f"select w, {dist('dst')} as near, {dist('neg')} as far from {t} t")
@@ -253,7 +271,7 @@ def _models() -> None:
     long = lambda df: tidy(df.select("id", F.col("pos").cast("int").alias("pos"), "val"), "val")
     link = lambda df: tidy(df.select("src", "dst", F.col("pos").cast("int").alias("pos"), "val"), "val")
     vec = f"select id, pos, {r6('val')} as val from "
-    pairs = "(select src, dst from g where (src + dst) % 7 = 0)"
+    pairs = "(select src, dst from g)"
 
     def trunk(c: Chain, degree: str, activation: bool) -> tuple[str, str]:
         lap = c.rescaled(c.magnetic(0.25, "sym", degree))
