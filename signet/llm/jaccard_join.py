@@ -13,12 +13,15 @@ entities with a Jaccard index of LIMIT or more must end in one component:
    tokens with other groups' unions go on. A query entity opens a group only if
    enough of its leading tokens lie in the group's union (the bound of step 1, now with k tokens against the
    union), and its own group always.
-4. Open groups. A group's members and its queries are dealt in blocks; whole sets of two blocks are intersected
-   by matrix products, and a block returns the edges of a spanning forest of its links, never all pairs.
+4. Open groups. Members linked with their group's leader are one component and need no comparison among
+   themselves. The other members and the group's queries are dealt in blocks and meet all members; whole sets of
+   two blocks are intersected by matrix products, and a block returns the edges of a spanning forest of its
+   links, never all pairs.
 
 All of it is exact: bounds are necessary conditions, and links are verified on whole sets. Tokens travel as
-packed arrays, dealt by hash into buckets whose number follows the input; a token of many documents costs one
-array entry each. No pair inside a connected group is made.
+packed arrays, dealt by hash into buckets whose number follows the input. In step 1 a piece of text sends a token of
+many of its documents twice, which is all that other pieces need to know. A group whose members are alike but
+mostly not linked with its leader costs the product of those members and all.
 """
 
 from __future__ import annotations
@@ -84,17 +87,42 @@ def _deal(entities: np.ndarray, tokens: list[np.ndarray], buckets: int, extra: n
     """Rows (bucket, piece, ids, sizes, tokens) of one piece: its tokens by bucket, in the order of its entities."""
     sizes = np.array([len(t) for t in tokens], np.int64)
     flat = np.concatenate(tokens) if len(tokens) else np.zeros(0, np.uint64)
+    yield from _blobs(_piece(entities), entities, np.repeat(np.arange(len(tokens)), sizes), flat, buckets, extra)
+
+
+def _piece(entities: np.ndarray) -> int:
     with np.errstate(over="ignore"):
-        piece = int(W.mix64(np.array([entities.view(np.uint64).sum(dtype=np.uint64) * W._P + np.uint64(len(entities))])).view(np.int64)[0])
+        return int(W.mix64(np.array([entities.view(np.uint64).sum(dtype=np.uint64) * W._P + np.uint64(len(entities))])).view(np.int64)[0])
+
+
+def _blobs(piece: int | None, entities: np.ndarray, owner: np.ndarray, flat: np.ndarray, buckets: int, extra: np.ndarray | None = None):
+    """One row for each bucket that has a token: as many rows as tokens at most, whatever the number of buckets."""
+    if not len(flat):
+        return
     bucket = (W.mix64(flat) % np.uint64(buckets)).astype(np.int64)
-    owner = np.repeat(np.arange(len(tokens)), sizes)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        own = order[cuts[b] : cuts[b + 1]]
-        if len(own):
-            who, n = np.unique(owner[own], return_counts=True)
-            yield b, piece, (entities[who] if extra is None else np.concatenate([entities[who][None, :], extra[:, who]])).tobytes(), n.astype(np.int32).tobytes(), flat[own].tobytes()
+    order, starts = _runs(bucket)
+    for lo, hi in zip(starts, np.append(starts[1:], len(flat)), strict=True):
+        own = order[lo:hi]
+        who, n = np.unique(owner[own], return_counts=True)
+        yield int(bucket[own[0]]), piece, (entities[who] if extra is None else np.concatenate([entities[who][None, :], extra[:, who]])).tobytes(), n.astype(np.int32).tobytes(), flat[own].tobytes()
+
+
+def _deal_leading(entities: np.ndarray, tokens: list[np.ndarray], buckets: int):
+    """Leading tokens of a piece, combined: tokens that several of its entities have are counted here (a row without
+    tokens, its counts in sizes) and go on for two of them only, in rows without a piece, which nobody counts again."""
+    flat, owner, piece = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]), _piece(entities)
+    order, starts = _runs(flat)
+    size = np.diff(np.append(starts, len(flat)))
+    many, place = np.empty(len(flat), bool), np.empty(len(flat), np.int64)
+    many[order] = np.repeat(size > 1, size)
+    place[order] = np.arange(len(flat)) - np.repeat(starts, size)
+    counts = np.bincount(owner[many], minlength=len(tokens))
+    hit = counts > 0
+    if hit.any():
+        yield piece % buckets, piece, entities[hit].tobytes(), counts[hit].astype(np.int32).tobytes(), None
+    yield from _blobs(piece, entities, owner[~many], flat[~many], buckets)
+    two = many & (place < 2)
+    yield from _blobs(None, entities, owner[two], flat[two], buckets)
 
 
 _BLOB_TYPES = [("bucket", pa.int32()), ("piece", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())]
@@ -105,20 +133,20 @@ def _batch(rows, types):
 
 
 def _first_pass(buckets: int):
-    types = [*_BLOB_TYPES, ("id", pa.int64()), ("n", pa.int64()), ("e", pa.int64())]
+    types = [*_BLOB_TYPES, ("id", pa.int64()), ("n", pa.int64()), ("e", pa.int64()), ("k", pa.int64())]
 
     def run(batches):
         for batch in W.pieces(batches, "text"):
-            ids = batch.column(batch.schema.get_field_index("id")).to_pylist()
+            ids, keys = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "k"))
             rows, held = [], {}
             for k, tokens in enumerate(shingle_sets(batch, "text")):
                 e = entity(tokens)
                 # the document's own row goes with the bucket of its entity
-                rows.append((e % buckets, None, None, None, None, ids[k], len(tokens), e))
+                rows.append((e % buckets, None, None, None, None, ids[k], len(tokens), e, keys[k]))
                 if len(tokens):
                     held[e] = tokens[: int(prefix(np.array([len(tokens)]))[0])]
             if held:
-                rows += [(*r, None, None, None) for r in _deal(np.array(list(held), np.int64), list(held.values()), buckets)]
+                rows += [(*r, None, None, None, None) for r in _deal_leading(np.array(list(held), np.int64), list(held.values()), buckets)]
             for lo in range(0, len(rows), 2000):
                 yield _batch(rows[lo : lo + 2000], types)
 
@@ -151,26 +179,21 @@ def _shared(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
+_DOC = ("id", "n", "e", "k")
+
+
 def _count_shared(table: pa.Table) -> pa.Table:
-    """Bucket -> for each blob, how many of each entity's tokens another entity has too; the documents' rows pass."""
-    docs = table.filter(pa.compute.is_null(table.column("tokens")))
+    """Bucket -> for each blob, how many of each entity's tokens another entity has too; the documents' rows and the
+    counts that pieces made themselves pass."""
+    docs = table.filter(pa.compute.is_valid(table.column("e")))
+    ready = table.filter(pa.compute.and_(pa.compute.is_null(table.column("e")), pa.compute.is_null(table.column("tokens"))))
     blobs = table.filter(pa.compute.is_valid(table.column("tokens")))
     ids, sizes, tokens = _unpack(blobs, blobs.schema.get_field_index("ids"))
-    rows = []
-    if ids:
-        owner = np.concatenate([np.repeat(w, s) for w, s in zip(ids, sizes, strict=True)])
-        shared = _shared(np.concatenate(tokens), owner)
-        lo = 0
-        for piece, x, s in zip(blobs.column("piece").to_pylist(), ids, sizes, strict=True):
-            hi = lo + int(s.sum())
-            counts = np.add.reduceat(shared[lo:hi].astype(np.int32), np.concatenate([[0], np.cumsum(s)[:-1]]).astype(np.int64))
-            lo, hit = hi, counts > 0
-            if hit.any():
-                rows.append((piece, x[hit].tobytes(), counts[hit].astype(np.int32).tobytes()))
     none = lambda n, t: pa.nulls(n, t)
-    counted = pa.table({"piece": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()), **{c: none(len(rows), pa.int64()) for c in ("id", "n", "e")}})
-    passed = pa.table({"piece": none(len(docs), pa.int64()), "ids": none(len(docs), pa.binary()), "counts": none(len(docs), pa.binary()), **{c: docs.column(c) for c in ("id", "n", "e")}})
-    return pa.concat_tables([passed, counted])
+    parts = [pa.table({"piece": none(len(docs), pa.int64()), "ids": none(len(docs), pa.binary()), "counts": none(len(docs), pa.binary()), **{c: docs.column(c) for c in _DOC}})]
+    for counted in [ready.select(["piece", "ids", "sizes"]).rename_columns(["piece", "ids", "counts"])] + ([_crossing(blobs, ids, sizes, np.concatenate([np.repeat(w, s) for w, s in zip(ids, sizes, strict=True)]), np.concatenate(tokens))] if ids else []):
+        parts.append(pa.table({**{c: counted.column(c) for c in ("piece", "ids", "counts")}, **{c: none(len(counted), pa.int64()) for c in _DOC}}))
+    return pa.concat_tables(parts)
 
 
 def _crossing(table: pa.Table, ids: list, sizes: list, owner: np.ndarray, flat: np.ndarray) -> pa.Table:
@@ -179,6 +202,9 @@ def _crossing(table: pa.Table, ids: list, sizes: list, owner: np.ndarray, flat:
     rows, lo = [], 0
     for piece, x, s in zip(table.column("piece").to_pylist(), ids, sizes, strict=True):
         hi = lo + int(s.sum())
+        if piece is None:  # counted where it came from
+            lo = hi
+            continue
         counts = np.add.reduceat(shared[lo:hi].astype(np.int32), np.concatenate([[0], np.cumsum(s)[:-1]]).astype(np.int64))
         lo, hit = hi, counts > 0
         if hit.any():
@@ -193,7 +219,7 @@ def _count_crossing(table: pa.Table) -> pa.Table:
     return _crossing(table, ids, sizes, group, np.concatenate(tokens))
 
 
-COUNTS = "piece long, ids binary, counts binary, id long, n long, e long"
+COUNTS = "piece long, ids binary, counts binary, id long, n long, e long, k long"
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
@@ -213,7 +239,7 @@ def _survivors(counts: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
-    """(e, n, weight, tokens) of the survivors' texts; a row whose id another text bears too is left to that text."""
+    """(e, n, weight, tokens) of the survivors' texts; a text of another entity whose key collides is left out."""
     types = [("e", pa.int64()), ("n", pa.int64()), ("weight", pa.int64()), ("tokens", pa.binary())]
     for batch in W.pieces(batches, "text"):
         e, weight = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("e", "weight"))
@@ -343,7 +369,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048, few:
 
 
 def _compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Queries (left) against members (right) of one group: edges of a forest of their links."""
+    """Loose members and queries (left) against members (right) of one group: edges of a forest of their links."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     if not left.num_rows or not right.num_rows:
         return none
@@ -360,11 +386,9 @@ def _compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
             x = parent[x]
         return x
 
-    edges, alike = [], key[1].as_py() == key[2].as_py()
+    edges = []
     for x in range(len(ea)):
         hit = (100 * both[x] >= PERCENT * (na[x] + nb - both[x])) & (eb != ea[x])
-        if alike:  # a block against itself meets each pair twice
-            hit &= eb > ea[x]
         for y in np.flatnonzero(hit):
             p, q = find(int(where[x])), find(int(where[len(ea) + y]))
             if p != q:
@@ -374,31 +398,46 @@ def _compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())}) if edges else none
 
 
+def _to_leader(batches):
+    """(a, b) of members linked with their group's leader: b is the leader."""
+    for batch in batches:
+        e, lead, own, other = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("e", "lead", "tokens", "head"))
+        rows = []
+        for x, y, a, b in zip(e, lead, own, other, strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True)) if PERCENT * max(len(a), len(b)) <= 100 * min(len(a), len(b)) else 0
+            if 100 * both >= PERCENT * (len(a) + len(b) - both):
+                rows.append((x, y))
+        yield _batch(rows, [("a", pa.int64()), ("b", pa.int64())])
+
+
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), one row for each row of df.
 
     Texts are lower-cased in A-Z; with fewer than WINDOW words the whole sequence is one shingle; null, empty
     and wordless texts have none, link with nothing and keep their own id. Equal sets link. Ids are integers; rows
-    with a null id take part, and name no component. Repeated ids are rows of their own. An empty table gives none.
+    with a null id take part (two others may be linked through them), and name no component: a component of such rows
+    alone has the id null. Repeated ids are rows of their own. An empty table gives none.
     """
     narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    narrow = narrow.withColumn("k", F.xxhash64("id", "text"))  # names a row; where two texts share it, their entities tell
     volume = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
-    doc_fields = "id long, n long, e long"
+    doc_fields = "id long, n long, e long, k long"
     dealt = narrow.mapInArrow(_first_pass(buckets), f"{BLOBS}, {doc_fields}")
     counts = Table(dealt.groupBy("bucket").applyInArrow(_count_shared, COUNTS), "counts")
-    docs = counts.df.filter("e is not null").select("id", "n", "e")
-    reps = docs.filter("n > 0").groupBy("e").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    docs = counts.df.filter("e is not null").select("id", "n", "e", "k")
+    reps = docs.filter("n > 0").groupBy("e").agg(F.min("id").alias("rep"), F.min("k").alias("k"), F.max("n").alias("n"))
     # an original whose copies differ has all its leading tokens in others: the share is what makes a leader
     share = (F.col("shared") * 1_000_000 / F.col("n")).cast("long")
-    alive = Table(_survivors(counts.df, reps).filter("rep is not null").select("e", "rep", share.alias("weight")), "alive").df
-    # a bit map of the survivors' ids, of a fixed size, keeps most other texts out of the exchange; what it lets through
+    alive = Table(_survivors(counts.df, reps).select("e", "k", share.alias("weight")), "alive").df
+    # a bit map of the survivors' keys, of a fixed size, keeps most other texts out of the exchange; what it lets through
     # wrongly the join drops
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
-    words = alive.select(F.pmod(F.xxhash64("rep"), F.lit(BITS)).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    marked = narrow.withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
-    likely = marked.join(F.broadcast(words), "word").filter(F.expr("shiftright(bits, cast(bit % 64 as int)) & 1 = 1")).select("id", "text")  # BITS / 64 rows at most
-    texts = likely.join(alive.hint("merge"), likely.id == alive.rep).select("id", "e", "weight", "text").dropDuplicates(["id", "text"])
+    bit = F.pmod("k", F.lit(BITS))
+    words = alive.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    marked = narrow.select("k", "text").withColumn("bit", bit).withColumn("word", F.expr("bit div 64"))
+    likely = marked.join(F.broadcast(words), "word").filter(F.expr("shiftright(bits, cast(bit % 64 as int)) & 1 = 1")).select("k", "text")  # BITS / 64 rows at most
+    texts = likely.join(alive.hint("merge"), "k").select("k", "e", "weight", "text").dropDuplicates(["k", "text", "e"])
     sets = Table(texts.select("e", "weight", "text").mapInArrow(_sets, "e long, n long, weight long, tokens binary"), "sets").df
     buckets_of = lambda df: max(1, -(-(df.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
 
@@ -424,26 +463,35 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     matrix = matrix.groupBy("e", "g").agg(F.sum("shared").alias("shared")).join(grouped.select("e", "n"), "e")
     crossing = matrix.filter(F.col("shared") >= F.greatest(F.lit(1).cast("long"), (F.col("n") * F.lit(SLACK)).cast("long"))).select("e", "g")
     opened = Table(crossing, "opened").df
-    shape = grouped.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.count("*").alias("m")).join(
-        opened.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qb")), "g", "left").withColumn("qb", F.coalesce("qb", F.lit(0)))
-    shape = shape.filter("m > 1 or qb > 0").drop("m")
+    # the member that most others chose as leader; those linked with it need no other comparison within the group
+    fans = best.join(placed, "e").groupBy("g", "leader").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "leader")).alias("m")).select("g", F.col("m.leader").alias("lead"))
+    heads = fans.join(grouped.select(F.col("e").alias("lead"), F.col("tokens").alias("head")), "lead")
+    tight = Table(grouped.join(heads.hint("merge"), "g").filter("e <> lead").mapInArrow(_to_leader, "a long, b long"), "tight").df
+    bound = tight.select(F.col("a").alias("e")).union(fans.select("lead"))
+    loose = Table(grouped.select("g", "e").join(bound, "e", "left_anti"), "loose").df
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    shape = grouped.groupBy("g").agg(blocks.alias("nb"), F.count("*").alias("m"))
+    for part, name in ((loose, "lb"), (opened, "qb")):
+        shape = shape.join(part.groupBy("g").agg(blocks.alias(name)), "g", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    shape = shape.filter("(lb > 0 and m > 1) or qb > 0").drop("m")
     block = lambda n: F.pmod(F.xxhash64("e"), F.col(n)).cast("int")
     each = lambda lo, hi: F.explode(F.sequence(lo, hi))
-    # members against members: blocks i <= j; queries from other groups: blocks below 0 against all blocks of members
-    own = grouped.select("g", "e", "tokens").join(shape, "g").withColumn("b", block("nb"))
-    asked = opened.join(shape, "g").join(grouped.select("e", "tokens"), "e")
+    # loose members: blocks from 0; queries from other groups: blocks below 0; each against all blocks of members
     last = F.col("nb") - 1
-    left = own.select("g", F.col("b").alias("i"), each(F.col("b"), last).alias("j"), "e", "tokens").union(
+    own = loose.join(shape.filter("lb > 0"), "g").join(grouped.select("e", "tokens"), "e")
+    asked = opened.join(shape, "g").join(grouped.select("e", "tokens"), "e")
+    left = own.select("g", block("lb").alias("i"), each(F.lit(0), last).alias("j"), "e", "tokens").union(
         asked.select("g", (-1 - block("qb")).alias("i"), each(F.lit(0), last).alias("j"), "e", "tokens"))
-    right = own.select(F.col("g").alias("h"), each(-F.col("qb"), F.col("b")).alias("x"), F.col("b").alias("y"), F.col("e").alias("f"), F.col("tokens").alias("t"))
+    members = grouped.select("g", "e", "tokens").join(shape, "g")
+    right = members.select(F.col("g").alias("h"), each(-F.col("qb"), F.col("lb") - 1).alias("x"), block("nb").alias("y"), F.col("e").alias("f"), F.col("tokens").alias("t"))
     links = left.groupBy("g", "i", "j").cogroup(right.groupBy("h", "x", "y")).applyInArrow(_compare, "a long, b long")
-    links = Table(links, "links").df
+    links = Table(links.union(tight), "links").df
 
-    # components over the entities' smallest ids
-    ends = links.join(alive.select(F.col("e").alias("a"), F.col("rep").alias("x")), "a").join(alive.select(F.col("e").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-    roots = components(ends, "x", "y").select(F.col("node").alias("rep"), "root")
-    of = reps.join(roots, "rep", "left").select("e", F.coalesce("root", "rep").alias("component"))
-    joined = docs.join(of, "e", "left")
+    # components over entities, each named by the smallest id in it; entities without a link are their own
+    roots = Table(components(links).select(F.col("node").alias("e"), "root").join(reps.select("e", "rep"), "e"), "roots").df
+    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component")), "root").select("e", "component")
+    of = reps.select("e", "rep").join(named.withColumn("linked", F.lit(True)), "e", "left").select("e", F.when(F.col("linked"), F.col("component")).otherwise(F.col("rep")).alias("component"))
+    joined = docs.select("id", "n", "e").join(of, "e", "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -198,6 +198,18 @@ def test_jaccard(docs, none, spark):
     assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def test_jaccard_bridges(spark):
+    """Two texts linked only through a row without an id, and ids that bear several texts."""
+    w = [f"w{k}" for k in range(100)]
+    b, c = w[:45] + ["x1", "x2"] + w[45:], w[:45] + ["x1", "x2"] + w[45:90] + ["y1", "y2", "y3", "y4"] + w[90:]
+    far = [f"z{k}" for k in range(60)]
+    rows = [(1, " ".join(w)), (None, " ".join(b)), (7, " ".join(c)), (7, " ".join(far)), (9, " ".join([*far, "end"])), (None, "alone in the world of null ids"), (4, " ".join(w)), (7, " ".join(far))]
+    want = brute_components(rows)
+    assert sum(root == 1 for _, _, root in want) == 4  # 1, 4, the row without an id, and 7 through it
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.1], 0), (4, [1.0, 0.0], 1), (5, [1.0, 0.0], None), (6, None, 0), (7, [0.0, 0.0], 0), (8, [nan, 1.0], 0), (9, [inf, 1.0], 0), (10, [1.0, None], 0), (11, [], 0), (12, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
