@@ -8,18 +8,21 @@ window is a slice of the sorted line; collisions are counted for each pair, and
 verified by their cosine in double precision. So no pair below the limit is linked.
 
 Equal vectors of one label are one representative with a multiplicity. The representatives of a label are
-dealt, in the order of their place on a fixed first line, into blocks of BLOCK; two blocks meet only if
-their intervals on that line come within the distance that the limit allows (every linked pair does, exactly).
-A task holds two blocks. It returns link counts for each vector and the edges of a spanning forest, never
-all pairs.
+dealt, in the order of their place on the first line (scaled to length 1), into blocks of BLOCK; two blocks meet
+only if their intervals on that line come within the distance that the limit allows (every linked pair does,
+exactly). A task holds two blocks. It returns link counts for each vector and the edges of a spanning forest, never
+all pairs. For vectors without structure in many dimensions the windows hold a share of a label that does not
+depend on its size, so the work in a label is the square of its distinct vectors, spread over its pairs of blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute is used below
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +71,7 @@ def _pairs(limit: float, lines: int, recall: float):
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         same = key[1].as_py() == key[2].as_py()
-        get = lambda t: (np.array(t.column(3).to_pylist(), np.int64), np.array(t.column(5).to_pylist(), float), np.array(t.column(4).to_pylist(), np.int64))
+        get = lambda t: (np.array(t.column(3).to_pylist(), np.int64), np.stack([np.frombuffer(x) for x in t.column(5).to_pylist()]), np.array(t.column(4).to_pylist(), np.int64))
         (ia, a, na), (ib, b, nb) = get(left), get(right)
         line = lines_of(a.shape[1], lines)
         counts = collisions(a @ line, b @ line, half)
@@ -101,31 +104,61 @@ def _pairs(limit: float, lines: int, recall: float):
     return link
 
 
+def units(values: pa.Array) -> list[np.ndarray | None]:
+    """Unit vectors in double precision; None where a list is null, empty or zero, or holds null or non-finite numbers.
+
+    Scaled by the largest component first, so that no square overflows or vanishes."""
+    values = values.cast(pa.list_(pa.float64()))
+    flat = values.flatten()
+    numbers = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pa.compute.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False))
+    out: list[np.ndarray | None] = []
+    for a, b in zip(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64), strict=True):
+        v = numbers[a:b]
+        top = np.abs(v).max() if b > a else 0.0
+        if not (np.isfinite(top) and top > 0):
+            out.append(None)
+            continue
+        v = v / top
+        v = v / np.sqrt((v * v).sum())
+        out.append(v + 0.0)  # a negative zero equals zero
+    return out
+
+
+def _prepare(batches):
+    """(id, node, key, group, unit, place): node and key are 64 and 128 bits of a hash of label and unit vector."""
+    names = ["id", "node", "key", "group", "unit", "place"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary(), pa.float64()]
+    first: dict[int, np.ndarray] = {}
+    for batch in batches:
+        ids, labels = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "label"))
+        rows = []
+        for i, label, v in zip(ids, labels, units(batch.column(batch.schema.get_field_index("v"))), strict=True):
+            if v is None or label is None or i is None:
+                rows.append((i, None, None, None, None, None))
+                continue
+            if len(v) not in first:
+                line = lines_of(len(v), 1)[:, 0]
+                first[len(v)] = line / np.linalg.norm(line)
+            group, raw = f"{len(v)}|{label}", v.tobytes()
+            h = hashlib.blake2b(group.encode() + b"\0" + raw, digest_size=16).digest()
+            rows.append((i, int.from_bytes(h[:8], "little", signed=True), h, group, raw, float(v @ first[len(v)])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = COSINE, lines: int = LINES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) for each row of df.
 
-    Vectors are compared only where labels and dimensions are equal. Null labels, null or empty vectors, zero
+    Vectors of any width are compared where labels and dimensions are equal. Null labels, null or empty vectors, zero
     vectors and such with null or non-finite components link with nothing. Equal vectors link with each
-    other. Ids are unique integers; a repeated id counts as one more equal vector, a null id has no links and
-    a null component. An empty table gives none.
+    other. Ids are integers, one a row; a repeated id with an equal vector counts as one more equal vector, with
+    another vector as a row of its own; a null id has no links and a null component. An empty table gives none.
     """
     base = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.col(f"`{label_col}`").cast("string").alias("label"))
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    usable = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", fine)
-    top = F.array_max(F.transform("v", F.abs))
-    # scaled by the largest component first, so that no square overflows or vanishes
-    usable &= top > 0
-    good = base.filter(usable).withColumn("v", F.transform("v", lambda x: x / top)).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    good = good.select("id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
-    key = F.sha2(F.concat_ws("|", F.col("label"), F.transform("unit", lambda x: x.cast("string"))), 256)
-    member = good.withColumn("key", key)
-    reps = member.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("unit").alias("unit"))
+    every = Table(base.mapInArrow(_prepare, "id long, node long, key binary, group string, unit binary, place double"), "units").df
+    member = every.filter("key is not null").select("id", "key")
+    reps = every.filter("key is not null").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("node").alias("rep"), F.first("group").alias("group"), F.first("unit").alias("unit"), F.first("place").alias("place"))
     reps = Table(reps, "vectors").df
-    first = np.random.default_rng([SEED, 1])
-    line = F.lit([float(x) for x in first.standard_normal(4096)])
-    scale = F.sqrt(F.aggregate(F.slice(line, 1, F.size("unit")), F.lit(0.0), lambda s, x: s + x * x))
-    place = F.aggregate(F.zip_with("unit", F.slice(line, 1, F.size("unit")), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / scale
-    reps = reps.withColumn("place", place).withColumn("group", F.concat("label", F.lit("|"), F.size("unit").cast("string")))
     # blocks: fine cells of the line are counted, and cells of a label are joined until a block is full
     cell = F.floor(F.col("place") * 4096).cast("int")
     cells = reps.withColumn("cell", cell).groupBy("group", "cell").agg(F.count("*").alias("m"), F.min("place").alias("lo"), F.max("place").alias("hi"))
@@ -146,10 +179,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     found = Table(found, "links").df
     links = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("a <> b")).select(F.col("node").alias("rep"), "root")
-    of = reps.select("key", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left").select(
-        "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = member.select("id", "key").join(of, "key").select("id", "n_links", "component_id")
-    alone = base.filter(~F.coalesce(usable, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    known = reps.select("key", "rep", "low", "n").join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = Table(known, "known").df
+    low = known.groupBy("root").agg(F.min("low").alias("component_id"))
+    of = known.join(low, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    linked = member.join(of, "key").select("id", "n_links", "component_id")
+    alone = every.filter("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("id") == F.col("component_id"))
 
 

@@ -221,6 +221,22 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_wide_vectors_and_repeated_ids(spark):
+    """5,000 components, ids that bear several vectors, clashing column names, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, c = rng.standard_normal(5000), rng.standard_normal(100)
+    rows = [(1, a, 0), (2, a + 0.1 * rng.standard_normal(5000), 0), (3, c, 0), (3, c + 0.1 * rng.standard_normal(100), 0), (4, -a, 0), (5, 7 * c, 0), (3, c, 0)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], y, 1, "k") for i, v, y in rows], "vec_id long, embedding array<double>, label int, rep int, key string")
+    unit = [v / np.linalg.norm(v) for _, v, _ in rows]
+    linked = [[len(x) == len(y) and float(x @ y) >= 0.93 for y in unit] for x in unit]
+    want = sorted((rows[k][0], sum(linked[k]) - 1) for k in range(len(rows)))
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert sorted((r.id, r.n_links) for r in got) == want
+    assert {r.id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
+
+
 def test_collision_recall():
     import numpy as np
 
