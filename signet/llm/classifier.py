@@ -1,13 +1,14 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
-Two dictionaries are trained from pieces of labelled rows, one a class. A text is compressed, in blocks of
+Two dictionaries are trained from the whole texts of labelled rows, one a class, in samples of BLOCK bytes. A text is compressed, in blocks of
 BLOCK bytes that together are the whole text, once with either dictionary; the difference of the two sizes
 over their sum says which class's strings it is made of. The mean difference, the least and the greatest of a
 block, and the size itself over the bytes (how much a text repeats) enter a logistic calibration that turns
 them into a score.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. The sample is bounded: SAMPLE
-labelled ids a class, by hash order, found in the narrow table of labels before any text is read.
+labelled ids a class, by hash order, found in the narrow table of labels before any text is read. An id that bears
+several texts gives the least of them; an id labelled both good and bad gives none.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from . import words as W
 
 #: Labelled rows of each class that are learnt from, at most; half of them make the dictionaries.
 SAMPLE = 3000
-#: Characters of a row's text that a dictionary learns from, at most, at a seeded place in it.
-PIECE = 3000
 DICTIONARY, BLOCK, LEVEL = 65536, 2048, 1
 N_FEATURES = 7
 
@@ -140,7 +139,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learns from labelled rows that are not held out. Null labels, ids without a text and labels other than
     0 and 1 are left out; without rows of both classes the score is a constant, the share of good rows."""
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")
     order = F.xxhash64(F.col("id").cast("string"))
     picked = [known.filter(F.col("y") == y).orderBy(order, "id").limit(sample).collect() for y in (1, 0)]
     chosen = [(r["id"], r["y"], k % 2) for rows in picked for k, r in enumerate(rows)]
@@ -150,13 +149,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     spark = docs.sparkSession
     ids = spark.createDataFrame(chosen, f"id {known.schema['id'].dataType.simpleString()}, y int, part int")  # at most 2 * sample rows
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), "id").filter(F.col("text").isNotNull())
-    at = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
-    pieces = text.filter("part = 0").select("y", F.substring("text", at, F.lit(PIECE)).alias("piece"), order.alias("o")).orderBy("o", "piece").limit(2 * sample).collect()
-    by = {y: [r["piece"].encode() for r in pieces if r["y"] == y] for y in (1, 0)}
+    text = text.groupBy("id", "y", "part").agg(F.min("text").alias("text"))  # one text an id: 2 * sample rows at most
+    pieces = text.filter("part = 0").select("y", "text", order.alias("o")).orderBy("o", "text").collect()
+    by: dict[int, list[bytes]] = {1: [], 0: []}
+    for r in pieces:
+        raw = r["text"].encode()
+        by[r["y"]] += [raw[a : a + BLOCK] for a in range(0, len(raw), BLOCK)]
     if not all(by.values()):
         return Model(constant=(len(by[1]) + 1) / (len(pieces) + 2))
     good, bad = (train_dictionary(by[y]) for y in (1, 0))
-    rows = text.filter("part = 1").select("y", "text").mapInArrow(_featurer(good, bad, ("y",)), "y int, features array<double>").limit(2 * sample).collect()
+    rows = text.filter("part = 1").select("y", "text").mapInArrow(_featurer(good, bad, ("y",)), "y int, features array<double>").collect()
     y = np.array([r["y"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Model(constant=(len(by[1]) + 1) / (len(pieces) + 2))
