@@ -36,7 +36,7 @@ _START[0x80:0xC0] = False  # bytes that begin a code point
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _measure(batches):
+def _measure(batches, texts: bool = False):
     for batch in W.pieces(batches, "text"):
         data, offsets = W.buffers(batch.column(batch.schema.get_field_index("text")))
         starts, ends, first = W.spans(data, offsets)
@@ -75,19 +75,37 @@ def _measure(batches):
             full = np.flatnonzero(word[1:] > word[:-1])
             raw = W._hashes(np.append(data[lo:hi], 10), bounds[full] - lo, bounds[full + 1] - 1 - lo) if len(full) else np.zeros(0, np.uint64)
             rows["n_dup_lines"].append(len(raw) - len(np.unique(raw)))
-            held = [W.windows(normal[word[k] : word[k + 1]], int(word[k + 1] - word[k]))[0] for k in full]
-            keys, inverse = np.unique(np.array(held, np.uint64), return_inverse=True)
+            keys, inverse = np.unique(W._hashes(normal, word[full], word[full + 1]), return_inverse=True)
             counts = np.bincount(inverse, weights=(word[full + 1] - word[full]).astype(np.float64), minlength=len(keys)) if len(keys) else np.zeros(0)
             lines.append(keys.view(np.int64))
             line_words.append(counts.astype(np.int64))
         sizes = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int32)
         flat = lambda parts: pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-        keep = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "host")]
-        yield pa.RecordBatch.from_arrays([*keep, *[pa.array(np.array(rows[k], np.int64)) for k in FIGURES], flat(lines), flat(line_words)], ["id", "host", *FIGURES, "lines", "line_words"])
+        keep = [batch.column(batch.schema.get_field_index(c)) for c in ("id", "host", *["text"] * texts)]
+        yield pa.RecordBatch.from_arrays([*keep, *[pa.array(np.array(rows[k], np.int64)) for k in FIGURES], flat(lines), flat(line_words)], ["id", "host", *["text"] * texts, *FIGURES, "lines", "line_words"])
 
 
-def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE, depleted: float = DEPLETED) -> DataFrame:
-    """One row for each row of df: id, host, the five figures, removed_words, base_failed, kept.
+def _cut(batches):
+    """The batches with `cleaned`: texts without the lines whose normalised hashes are in `gone`."""
+    for batch in W.pieces(batches, "text"):
+        column = batch.column(batch.schema.get_field_index("text"))
+        out = []
+        for text, gone in zip(column.to_pylist(), batch.column(batch.schema.get_field_index("gone")).to_pylist(), strict=True):
+            if not gone:
+                out.append(text)
+                continue
+            lines = text.split("\n")
+            data, offsets = W.buffers(pa.array(lines, pa.string()))
+            starts, ends, first = W.spans(data, offsets)
+            h = W._hashes(W._hashes(_NORMAL[data], starts, ends), first[:-1], first[1:]).view(np.int64)
+            cut = np.isin(h, np.array(gone, np.int64)) & (first[1:] > first[:-1])
+            out.append("\n".join(x for x, c in zip(lines, cut.tolist(), strict=True) if not c))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "cleaned"])
+
+
+def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, host_share: float = HOST_SHARE, depleted: float = DEPLETED, payload: bool = False) -> DataFrame:
+    """One row for each row of df: id, host, the five figures, removed_words, base_failed, kept; with payload also
+    `cleaned`, the text without the removed lines (the other lines as they are).
 
     Null and empty texts have no words and so fail; a null host is a host of its own; repeated rows count as
     documents of their own. Null ids stay null. An empty table gives an empty result.
@@ -95,15 +113,19 @@ def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.col(f"`{host_col}`").cast("string").alias("host"))
     figures = ", ".join(f"{c} long" for c in FIGURES)
-    measured = Table(narrow.mapInArrow(_measure, f"id {kind}, host string, {figures}, lines array<long>, line_words array<long>").withColumn("row", F.monotonically_increasing_id()), "rules").df
+    text = "text string, " if payload else ""
+    measured = Table(narrow.mapInArrow(lambda b: _measure(b, payload), f"id {kind}, host string, {text}{figures}, lines array<long>, line_words array<long>").withColumn("row", F.monotonically_increasing_id()), "rules").df
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"))
     # host and line in one 64-bit key, so that a null host needs no join of its own
     line = measured.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
-        "row", "host", F.xxhash64(F.coalesce("host", F.lit("\0")), F.col("l.lines")).alias("line"), F.col("l.line_words").alias("n"))
+        "row", "host", F.xxhash64(F.coalesce("host", F.lit("\0")), F.col("l.lines")).alias("line"), F.col("l.lines").alias("hash"), F.col("l.line_words").alias("n"))
     often = line.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > least_docs)
     often = often.join(hosts, often.host.eqNullSafe(hosts.host)).filter(F.col("docs") > F.col("host_docs") * host_share).select("line")
-    removed = line.join(often, "line").groupBy("row").agg(F.sum("n").alias("removed_words"))
+    hit = line.join(often, "line").groupBy("row")
+    removed = hit.agg(F.sum("n").alias("removed_words"), F.collect_list("hash").alias("gone")) if payload else hit.agg(F.sum("n").alias("removed_words"))
     out = measured.drop("lines", "line_words").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    if payload:
+        out = out.mapInArrow(_cut, out.withColumn("cleaned", F.lit("")).schema).drop("text", "gone")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("removed_words") <= F.col("n_words") * depleted)).drop("row")
 
