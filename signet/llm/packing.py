@@ -7,12 +7,15 @@ an unbounded knapsack prices by dynamic programming. Rounded-down patterns take
 leave (less than one sequence a pattern) is packed first-fit decreasing. The plan goes to the executors as
 a few arrays; pieces are ranked within their length and take the pattern's places by rank.
 
-Tokens are made once, in one pass that keeps ids by pieces of words: this vocabulary never joins over white space, nor
-Latin letters with ASCII digits or signs, so a text's ids are its pieces' ids in a row.
+Tokens are made once, in one pass. A tokenizer whose file has the pre-tokenizer PATTERN never joins over white space,
+nor Latin letters with ASCII digits or signs, so a text's ids are its pieces' ids in a row, and ids are kept by pieces
+of words (told by 64 bits of hash: with a million pieces a worker, a collision has a chance below 1e-7). Any other
+tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -25,8 +28,11 @@ from . import words as W
 from .common import Table
 
 SEQ, UNIT, END = 2048, 8, 1
-#: Pieces of words a worker keeps the ids of, in arrays of about 40 bytes each.
-KEPT_WORDS = 1_000_000
+#: Pieces of words a worker keeps the ids of, in arrays of about 40 bytes each; text bytes that are encoded at once.
+KEPT_WORDS, AT_ONCE = 500_000, 1 << 20
+# The pre-tokenizer and normalizers of files whose texts can be encoded by pieces of words.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 #: Hash buckets by which the pieces of one length are ranked, so that no length is one task.
 BUCKETS = 256
 
@@ -142,6 +148,19 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, starts, ends, np.searchsorted(starts, offsets)
 
 
+def by_words(path: str) -> bool:
+    """Whether the tokenizer in a file parts texts as parts() does."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    steps = (held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first = steps[0]
+    return (
+        first.get("type") == "Split" and first.get("pattern") == {"Regex": PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+        and [n["type"] for n in (held.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS and all(x.get("add_prefix_space") is False for x in steps[1:])
+        and all("<" in t["content"] for t in held["added_tokens"])
+    )
+
+
 class Words:
     """Token ids of pieces of words, kept by hash in sorted arrays that a worker keeps over its tasks."""
 
@@ -149,7 +168,7 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words(path)
         self.clear()
 
     def clear(self) -> None:
@@ -168,6 +187,10 @@ class Words:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first[i] of text i)."""
+        if not self.by_words:
+            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for own in ids for i in own], np.uint32), np.concatenate([[0], np.cumsum([len(own) for own in ids])]).astype(np.int64)
         low, starts, ends, first = parts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -198,32 +221,47 @@ def vocabulary_of(path: str) -> Words:
     return _VOCABULARIES[path]
 
 
-def _cutter(path: str):
+def _cutter(path: str, payload: bool):
+    names = ["start", "length", "ids_crc32", "doc_tokens"]
+
     def cut(batches):
         vocabulary = vocabulary_of(path)
-        for batch in W.pieces(batches, "text"):
+        for batch in W.pieces(batches, "text", AT_ONCE):
             ids, first = vocabulary.encode(*W.buffers(batch.column(batch.schema.get_field_index("text"))))
-            rows = []
+            rows, held = [], []
             for i in range(len(first) - 1):
                 own = np.append(ids[first[i] : first[i + 1]], np.uint32(END)).astype("<u4")
                 for a in range(0, len(own), SEQ):
                     part = own[a : a + SEQ]
                     rows.append((i, a, len(part), zlib.crc32(part.tobytes()), len(own)))
+                    if payload:
+                        held.append(part.astype(np.int32))
             cols = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")).take(pa.array(cols[:, 0])), *[pa.array(cols[:, k]) for k in range(1, 5)]], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+            more = [pa.array(held, pa.list_(pa.int32()))] if payload else []
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")).take(pa.array(cols[:, 0])), *[pa.array(cols[:, k]) for k in range(1, 5)], *more], ["id", *names, *["ids"] * payload])
 
     return cut
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def sequences(packed: DataFrame, pad: int = 0) -> DataFrame:
+    """(sequence_id, ids, n_tokens) from what pack() gives with payload: SEQ ids each, pad after the last piece.
+
+    A sequence is one group of SEQ ids at most."""
+    parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
+    whole = parts.select("sequence_id", ids.alias("ids")).withColumn("n_tokens", F.size("ids"))
+    return whole.select("sequence_id", F.concat("ids", F.array_repeat(F.lit(pad), F.lit(SEQ) - F.col("n_tokens"))).alias("ids"), "n_tokens")
+
+
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", payload: bool = False) -> DataFrame:
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with payload also its ids.
 
     Null and empty texts are the end token alone. Every row of df is a document, also where ids repeat or are
     null. Sequences hold at most SEQ tokens; offsets in a sequence are gapless from 0. An empty table gives none.
     """
     kind = df.schema[id_col].dataType.simpleString()
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    cut = narrow.mapInArrow(_cutter(tokenizer), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    cut = narrow.mapInArrow(_cutter(tokenizer, payload), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long{', ids array<int>' * payload}")
     # stored: the plan and the places must see the same pieces, and tokens are made once
     pieces = Table(cut.withColumn("row", F.monotonically_increasing_id()), "pieces").df
     bins = SEQ // UNIT
@@ -252,7 +290,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
         return pd.Series(out)
 
-    columns = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+    columns = ["id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * payload]
     full = ranked.filter(F.col("bin") == bins).select(*columns, (F.col("rank") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = ranked.filter(F.col("bin") < bins).withColumn("sequence_id", sequence("bin", "rank"))
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "key").rowsBetween(Window.unboundedPreceding, -1)
