@@ -15,7 +15,8 @@ Every byte that lies in a string of SPAN bytes which also starts in a document o
    belong to its smallest id are covered.
 
 Anchors, classes and arrays see every window of every document. Classes rest on 88 bits of hash, arrays on the
-bytes. The text is dealt once: the plan uses that exchange both for the segments' bytes and for the result.
+bytes, rows are named by 128 bits. Anchors of more than HOT classes are split: their windows go on one by one, dealt
+by their own bytes, so that no anchor is one task's array. The text is dealt once: the plan uses that exchange both for the segments' bytes and for the result.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ SPAN, GRAM = 50, 20
 #: Windows of one segment at most; text bytes for each bucket; bytes of joined segments for
 #: each array: what Python holds of an array of this size stays in a core's cache.
 LONGEST, BUCKET_BYTES, ARRAY = 512, 8 << 20, 8_000
+#: Classes of an anchor above which its windows are dealt by their own bytes.
+HOT = 4096
 _H = np.uint64((1 << 48) - 1)
 _G = np.uint64((1 << 40) - 1)
 _PLACE = np.uint64((1 << 21) - 1)
-NONE, COVERED, PARTLY = 0, 1, 2
+NONE, COVERED, PARTLY, SPLIT = 0, 1, 2, 3
 
 
 def segments(data: np.ndarray, offsets: np.ndarray):
@@ -123,32 +126,37 @@ def _numbers(batch, name):
     return np.array(batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False), np.int64)
 
 
+def _keys(batch) -> np.ndarray:
+    """Two 64-bit hashes that name each row."""
+    return np.stack([_numbers(batch, "key"), _numbers(batch, "key2")], axis=1)
+
+
 def _deal(buckets: int):
     def run(batches):
         for batch in W.pieces(batches, "text"):
-            key, rank = _numbers(batch, "key"), _numbers(batch, "rank")
+            key, rank = _keys(batch), _numbers(batch, "rank")
             text, _, _, h, g, _ = segments(*W.buffers(batch.column(batch.schema.get_field_index("text"))))
             if not len(text):
                 continue
             with np.errstate(over="ignore"):
-                piece = int(W.mix64(np.array([key.view(np.uint64).sum(dtype=np.uint64) * W._P + np.uint64(len(key))])).view(np.int64)[0])
+                piece = int(W.mix64(np.array([key[:, 0].copy().view(np.uint64).sum(dtype=np.uint64) * W._P + np.uint64(len(key))])).view(np.int64)[0])
             b = _bucket(h, buckets)
             order = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1))
+            line = b[order]
+            starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             rows = []
-            for k in range(buckets):
-                own = order[cuts[k] : cuts[k + 1]]
-                if len(own):
-                    who, n = np.unique(text[own], return_counts=True)
-                    rows.append((k, piece, key[who].tobytes(), rank[who].tobytes(), n.astype(np.int32).tobytes(), _pack(h[own], g[own])))
+            for lo, hi in zip(starts, np.append(starts[1:], len(line)), strict=True):
+                own = order[lo:hi]
+                who, n = np.unique(text[own], return_counts=True)
+                rows.append((int(line[lo]), piece, key[who].tobytes(), rank[who].tobytes(), n.astype(np.int32).tobytes(), _pack(h[own], g[own])))
             for lo in range(0, len(rows), 1000):
                 yield _rows(rows[lo : lo + 1000], _BLOB_TYPES)
 
     return run
 
 
-def states(h: np.ndarray, g: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """NONE, COVERED or PARTLY (its bytes decide) for each segment of a bucket."""
+def states(h: np.ndarray, g: np.ndarray, rank: np.ndarray, hot: int = HOT) -> np.ndarray:
+    """NONE, COVERED, PARTLY (its bytes decide) or SPLIT (its windows' bytes) for each segment of a bucket."""
     out = np.zeros(len(h), np.uint8)
     order = np.argsort(h, kind="stable")
     line = h[order]
@@ -166,35 +174,36 @@ def states(h: np.ndarray, g: np.ndarray, rank: np.ndarray) -> np.ndarray:
     least = np.repeat(rr[first], np.diff(np.append(first, len(order))))
     begin = np.flatnonzero(anchor)
     kinds = np.repeat(np.add.reduceat(kind.astype(np.int64), begin), np.diff(np.append(begin, len(order))))
-    out[order] = np.where(rr > least, COVERED, np.where(kinds > 1, PARTLY, NONE))
+    out[order] = np.where(rr > least, COVERED, np.where(kinds > hot, SPLIT, np.where(kinds > 1, PARTLY, NONE)))
     return out
 
 
-def _classify(table: pa.Table) -> pa.Table:
+def _classify(table: pa.Table, hot: int = HOT) -> pa.Table:
     """A bucket's blobs -> (piece, bucket, keys, sizes, states)."""
     get = lambda n: table.column(n).to_pylist()
     sizes = [np.frombuffer(x, np.int32) for x in get("sizes")]
     rank = np.concatenate([np.repeat(np.frombuffer(r, np.int64), s) for r, s in zip(get("ids"), sizes, strict=True)])
     both = [_unpack(x) for x in get("segments")]
-    state = states(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]), rank)
+    state = states(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]), rank, hot)
     ends = np.cumsum([int(s.sum()) for s in sizes])
     parts = [state[e - int(s.sum()) : e].tobytes() for e, s in zip(ends, sizes, strict=True)]
     return pa.table({"piece": table.column("piece"), "bucket": table.column("bucket"), "keys": table.column("keys"), "sizes": table.column("sizes"), "states": pa.array(parts, pa.binary())})
 
 
 def _by_text(table: pa.Table) -> pa.Table:
-    """All buckets of one piece -> (key, states) for each text with a state: states in the order of buckets."""
+    """All buckets of one piece -> (key, key2, states) for each text with a state: states in the order of buckets."""
     order = np.argsort(np.array(table.column("bucket").to_pylist()), kind="stable")
     get = lambda n: [table.column(n)[int(k)].as_py() for k in order]
-    keys, sizes = [np.frombuffer(x, np.int64) for x in get("keys")], [np.frombuffer(x, np.int32) for x in get("sizes")]
-    who = np.repeat(np.concatenate(keys), np.concatenate(sizes))
+    keys, sizes = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in get("keys")], [np.frombuffer(x, np.int32) for x in get("sizes")]
+    who = np.repeat(np.concatenate(keys), np.concatenate(sizes), axis=0)
     state = np.frombuffer(b"".join(get("states")), np.uint8)
-    at = np.argsort(who, kind="stable")
+    at = np.lexsort((who[:, 1], who[:, 0]))  # stable
     who, state = who[at], state[at]
-    start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+    start = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]).any(axis=1)]))
     ends = np.append(start[1:], len(who))
     some = np.maximum.reduceat(state, start) > 0
-    return pa.table({"key": pa.array(who[start[some]]), "states": pa.array([state[a:b].tobytes() for a, b in zip(start[some], ends[some], strict=True)], pa.binary())})
+    found = who[start[some]]
+    return pa.table({"key": pa.array(found[:, 0].copy()), "key2": pa.array(found[:, 1].copy()), "states": pa.array([state[a:b].tobytes() for a, b in zip(start[some], ends[some], strict=True)], pa.binary())})
 
 
 def _stated(batch, buckets: int):
@@ -214,17 +223,24 @@ def _stated(batch, buckets: int):
 
 
 def _material(buckets: int):
-    types = [("anchor", pa.int64()), ("key", pa.int64()), ("rank", pa.int64()), ("at", pa.int64()), ("anchor_at", pa.int64()), ("bytes", pa.binary())]
+    types = [("anchor", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("rank", pa.int64()), ("at", pa.int64()), ("anchor_at", pa.int64()), ("bytes", pa.binary())]
 
     def run(batches):
         for batch in W.pieces(batches, "text"):
-            key, rank = _numbers(batch, "key"), _numbers(batch, "rank")
+            key, rank = _keys(batch), _numbers(batch, "rank")
             data, offsets, text, start, end, h, place, state = _stated(batch, buckets)
             rows = []
-            for k in np.flatnonzero(state == PARTLY):
-                i = text[k]
-                rows.append((int(h[k]), int(key[i]), int(rank[i]), int(start[k] - offsets[i]), int(place[k] - start[k]) if place[k] >= 0 else -1, data[start[k] : end[k]].tobytes()))
-                if len(rows) == 8192:
+            for k in np.flatnonzero(state >= PARTLY):
+                i, a, b = text[k], int(start[k]), int(end[k])
+                who, raw = (int(key[i, 0]), int(key[i, 1]), int(rank[i])), data[a:b].tobytes()
+                if state[k] == SPLIT:
+                    for w in range(b - a - SPAN + 1):
+                        part = raw[w : w + SPAN]
+                        name = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+                        rows.append((name, *who, int(a + w - offsets[i]), -1, part))
+                else:
+                    rows.append((int(h[k]), *who, int(a - offsets[i]), int(place[k] - a) if place[k] >= 0 else -1, raw))
+                if len(rows) >= 8192:
                     yield _rows(rows, types)
                     rows = []
             if rows:
@@ -292,12 +308,12 @@ def clipped(anchor: list[int], place: list[int], raw: list[bytes]) -> tuple[np.n
 
 
 def _arrays(table: pa.Table) -> pa.Table:
-    """Segments of some anchors -> (key, spans) with spans as pairs of int64 (start, end in the text)."""
-    anchor, key, rank, at, place, raw = (table.column(n).to_pylist() for n in ("anchor", "key", "rank", "at", "anchor_at", "bytes"))
+    """Segments of some anchors -> (key, key2, spans) with spans as pairs of int64 (start, end in the text)."""
+    anchor, key, key2, rank, at, place, raw = (table.column(n).to_pylist() for n in ("anchor", "key", "key2", "rank", "at", "anchor_at", "bytes"))
     first, after = (x.tolist() for x in clipped(anchor, place, raw))
     order = np.argsort(np.array(anchor, np.int64), kind="stable")
     ends = np.append(np.diff(np.array(anchor, np.int64)[order]) != 0, True)
-    keys, spans = [], []
+    keys, keys2, spans = [], [], []
     batch: dict[tuple[int, bytes], list[int]] = {}
     held = 0
 
@@ -314,6 +330,7 @@ def _arrays(table: pa.Table) -> pa.Table:
                 found = whole if rank[r] > low else own
                 if found is not None:
                     keys.append(key[r])
+                    keys2.append(key2[r])
                     spans.append((found + (at[r] + first[r])).astype(np.int64).tobytes())
         batch.clear()
 
@@ -330,7 +347,7 @@ def _arrays(table: pa.Table) -> pa.Table:
             held = 0
     if batch:
         flush()
-    return pa.table({"key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
+    return pa.table({"key": pa.array(keys, pa.int64()), "key2": pa.array(keys2, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -367,7 +384,7 @@ def _finish(buckets: int, extra: tuple[str, ...], payload: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), payload: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), payload: bool = True, hot: int = HOT) -> DataFrame:
     """id, the columns named in keep, then n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes; null without payload).
 
     Texts are UTF-8 bytes, null texts empty. Ids are integers; rows that repeat an id never cover each other, and a
@@ -375,18 +392,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(9223372036854775807).cast("long"))
-    base = df.select(F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)], F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), rank.alias("rank"), text.alias("text"))
+    base = df.select(F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)], F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), F.xxhash64(text, F.col(f"`{id_col}`"), F.lit(1)).alias("key2"), rank.alias("rank"), text.alias("text"))
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
-    dealt = base.select("key", "rank", "text").mapInArrow(_deal(buckets), BLOBS).groupBy("bucket").applyInArrow(_classify, "piece long, bucket int, keys binary, sizes binary, states binary")
+    dealt = base.select("key", "key2", "rank", "text").mapInArrow(_deal(buckets), BLOBS).groupBy("bucket").applyInArrow(lambda t: _classify(t, hot), "piece long, bucket int, keys binary, sizes binary, states binary")
     # equal rows have equal states and one key
-    state = Table(dealt.groupBy("piece").applyInArrow(_by_text, "key long, states binary").dropDuplicates(["key"]), "states").df
-    stated = base.join(state, "key", "left")
-    several = stated.select("key", "rank", "text", "states").mapInArrow(_material(buckets), "anchor long, key long, rank long, at long, anchor_at long, bytes binary")
+    state = Table(dealt.groupBy("piece").applyInArrow(_by_text, "key long, key2 long, states binary").dropDuplicates(["key", "key2"]), "states").df
+    stated = base.join(state, ["key", "key2"], "left")
+    several = stated.select("key", "key2", "rank", "text", "states").mapInArrow(_material(buckets), "anchor long, key long, key2 long, rank long, at long, anchor_at long, bytes binary")
     groups = max(1, buckets // 2)
-    spans = several.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(_arrays, "key long, spans binary")
-    spans = spans.distinct().groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    whole = stated.join(spans, "key", "left").select("__id", *[f"__{k}" for k in range(len(keep))], "text", "states", "spans")
+    spans = several.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(_arrays, "key long, key2 long, spans binary")
+    spans = spans.distinct().groupBy("key", "key2").agg(F.collect_list("spans").alias("spans"))
+    whole = stated.join(spans, ["key", "key2"], "left").select("__id", *[f"__{k}" for k in range(len(keep))], "text", "states", "spans")
     extra = ("__id", *[f"__{k}" for k in range(len(keep))])
     kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in extra)
     out = whole.mapInArrow(_finish(buckets, extra, payload), f"{kinds}, {RESULT}")

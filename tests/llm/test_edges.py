@@ -108,6 +108,18 @@ def test_packing(docs, none):
     rows = packing.pack(docs, packing.tokenizer_path()).collect()
     want = sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in TEXTS)
     assert sum(r.length for r in rows) == want
+    # every piece's ids, and the padded sequences, against the tokenizer
+    own = {}
+    for r in sorted(packing.pack(docs, packing.tokenizer_path(), payload=True).collect(), key=lambda r: r.start):
+        assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids)) and r.length == len(r.ids)
+        own.setdefault((r.id, r.doc_tokens), []).append(r.ids)
+    full = [t.encode(x or "", add_special_tokens=False).ids + [1] for _, x in TEXTS]
+    assert sorted(i for parts in own.values() for p in parts for i in p) == sorted(i for x in full for i in x)
+    for (i, _), x in zip(TEXTS, full, strict=True):
+        if i not in (1, None):
+            assert [k for p in own[i, len(x)] for k in p] == x
+    lines = packing.sequences(packing.pack(docs, packing.tokenizer_path(), payload=True)).collect()
+    assert all(len(r.ids) == packing.SEQ for r in lines) and sum(r.n_tokens for r in lines) == want
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append(r)
@@ -150,8 +162,13 @@ def test_suffix_dedup(docs, none, spark):
     rnd = random.Random(4)
     bits = ["".join(rnd.choice("ab é") for _ in range(rnd.randint(20, 90))) for _ in range(12)]
     rows = [(k, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 7)))) for k in range(60)] + [(60, "be " * 900), (61, "x" + "be " * 400), (62, "be " * 20)]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_repeats(rows)
+    long = "".join(rnd.choice("abcdefghij ") for _ in range(1_200_000))
+    rows += [(63, long), (64, long[:700_000] + "!" + long[700_000:])]  # longer than a piece
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_repeats(rows)
+    for hot in (suffix_dedup.HOT, 1):  # 1: all anchors of several classes are split
+        got = suffix_dedup.remove_repeats(df, hot=hot).collect()
+        assert sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == want
 
 
 def brute_components(rows):
