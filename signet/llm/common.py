@@ -14,8 +14,8 @@ _ROOTS: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (local tests), a folder beside the working directory's
-    temporary files is set, which is right because driver and executors are then one process.
+    Only where a local session names none, a temporary folder is set, which is right because driver and
+    executors are then one process; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     import tempfile
 
     path = "file://" + tempfile.mkdtemp(prefix="signet-")

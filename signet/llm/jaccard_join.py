@@ -411,8 +411,14 @@ def _to_leader(batches):
         yield _batch(rows, [("a", pa.int64()), ("b", pa.int64())])
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id), one row for each row of df.
+def row_key(id_col: str, text_col: str):
+    """64 bits that name a row by its id and text."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id), one row for each row of df; with keys also k (row_key) and group, a number that
+    names the component whether or not its rows have ids (null for texts without words).
 
     Texts are lower-cased in A-Z; with fewer than WINDOW words the whole sequence is one shingle; null, empty
     and wordless texts have none, link with nothing and keep their own id. Equal sets link. Ids are integers; rows
@@ -420,7 +426,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     alone has the id null. Repeated ids are rows of their own. An empty table gives none.
     """
     narrow = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    narrow = narrow.withColumn("k", F.xxhash64("id", "text"))  # names a row; where two texts share it, their entities tell
+    narrow = narrow.withColumn("k", row_key("id", "text"))  # where two texts share a key, their entities tell
     volume = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
     doc_fields = "id long, n long, e long, k long"
@@ -489,10 +495,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     # components over entities, each named by the smallest id in it; entities without a link are their own
     roots = Table(components(links).select(F.col("node").alias("e"), "root").join(reps.select("e", "rep"), "e"), "roots").df
-    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component")), "root").select("e", "component")
-    of = reps.select("e", "rep").join(named.withColumn("linked", F.lit(True)), "e", "left").select("e", F.when(F.col("linked"), F.col("component")).otherwise(F.col("rep")).alias("component"))
-    joined = docs.select("id", "n", "e").join(of, "e", "left")
-    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component")), "root").select("e", "root", "component")
+    of = reps.select("e", "rep").join(named.withColumn("linked", F.lit(True)), "e", "left").select("e", F.when(F.col("linked"), F.col("component")).otherwise(F.col("rep")).alias("component"), F.coalesce("root", "e").alias("group"))
+    joined = docs.select("id", "n", "e", "k").join(of, "e", "left")
+    return joined.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), *["k", "group"] * keys)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
