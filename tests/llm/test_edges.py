@@ -101,6 +101,59 @@ def test_licenses(docs, none, spark):
     assert got[5].labels == "" and got[5].score < 0.8
 
 
+def test_license_matches_and_chains():
+    """Matching statistics, phrases and chains against brute force over all substrings and all chains."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(5)
+    words = list("abcdef")
+    for _ in range(60):
+        templates = [(f"t{k}", " ".join(rnd.choice(words) for _ in range(rnd.randint(4, 12)))) for k in range(3)]
+        phrases = (("a b", "ab"), ("c d e", "cde"))
+        s = licenses.Scanner(templates, phrases, least=2, cover=0.6, gap=2)
+        text = [rnd.choice([*words, "zz"]) for _ in range(30)]
+        ids = np.array([s.index.get(w, -1) for w in text])
+        places, found = s.scan(ids)
+        assert sorted(places) == sorted((k, p) for p, (x, _) in enumerate(phrases) for k in range(len(text)) if text[k : k + len(x.split())] == x.split())
+        whole = [t.split() for _, t in templates]
+        inside = lambda x: any(t[k : k + len(x)] == x for t in [*whole, *[p.split() for p, _ in phrases]] for k in range(len(t)))  # noqa: E731, B023
+        want = {}
+        for a, b in itertools.combinations(range(len(text) + 1), 2):
+            x = text[a:b]
+            if len(x) >= 2 and inside(x) and not (a and inside(text[a - 1 : b])) and not (b < len(text) and inside(text[a : b + 1])):
+                for t, seq in enumerate(whole):
+                    for k in range(len(seq)):
+                        if seq[k : k + len(x)] == x:
+                            want.setdefault(t, []).append((a, k, len(x)))
+        assert {t: sorted(m) for t, m in found.items()} == {t: sorted(m) for t, m in want.items()}
+        for matches in found.values():
+            matches = sorted(matches)
+
+            def covered(chosen):
+                total = chosen[0][2]
+                for (x, y, m), (at, place, n) in itertools.pairwise(chosen):
+                    new = n - max(0, x + m - at, y + m - place)
+                    if x >= at or y >= place or at - x - m > 2 or place - y - m > 2 or new <= 0:
+                        return 0
+                    total += new
+                return total
+
+            if len(matches) <= 10:
+                top = max(covered(c) for r in range(1, len(matches) + 1) for c in itertools.combinations(matches, r))
+                assert max(c for c, _, _ in s.chain(matches)) == top
+
+
+def test_license_whole_text_with_a_repeated_part(spark):
+    text = "Permission is hereby granted, free of charge, to any person obtaining any person obtaining a copy of this software and associated documentation files"
+    rows = [(1, text), (2, dict(licenses.LICENCES)["isc"].upper()), (3, "x " * 50 + dict(licenses.LICENCES)["zlib"] + " y")]
+    got = {r.id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "mit" in got[1].labels.split(",") and got[1].score == 1.0
+    assert got[2].labels == "isc" and got[3].labels == "zlib" and [(x.first, x.after) for x in got[3].spans if x.label == "zlib"] == [(50, got[3].n_words - 1)]
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
