@@ -24,12 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by Jaccard indices of 0.8 or more, the document with the smallest id.
-
-    Of rows that repeat an id one stays; rows without an id can't be named and stay."""
-    found = jaccard_join.join(docs)
-    kept = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").union(docs.filter("doc_id is null")).select(*COLUMNS)
+    """Of each group linked by Jaccard indices of 0.8 or more one row: the smallest id, nulls last, and of rows that
+    repeat id and text one. Texts without words link with nothing and stay."""
+    found = jaccard_join.join(docs, keys=True).filter("n_shingles > 0")
+    kept = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("m")).select("m.k").distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = docs.filter(worded).withColumn("k", jaccard_join.row_key("doc_id", "text")).join(kept, "k", "left_semi")
+    return some.dropDuplicates(["k", "doc_id", "text"]).select(*COLUMNS).union(docs.filter(~worded).select(*COLUMNS))
 
 
 def _decoded(kept: pd.Series) -> pd.Series:
@@ -69,6 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table = None
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), f"stage-{name}").df
+        table, last = Table(stage(spark, docs, sf_dir), f"stage-{name}"), table
+        if last is not None:
+            last.drop()
+        docs = table.df
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir; a folder is set only where the session names none."""
+    """df, computed once and kept in spark.checkpoint.dir; where a local session names none, a folder is set, elsewhere that is an error."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="signet-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="signet-"))
     return df.checkpoint(eager=True)
