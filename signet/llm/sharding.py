@@ -2,7 +2,7 @@
 
 Rows get numbers 0..N-1 in the order of (row hash, id, size): the hash is spread evenly, so fixed ranges of
 it are buckets of nearly equal size however ids, texts or sources are skewed. A bucket's number range
-begins where the counts of the buckets before it end (a table of at most BUCKETS rows), and inside a bucket a
+begins where the counts of the buckets before it end (a table of at most 16 ** DIGITS rows), and inside a bucket a
 window numbers the rows. A Feistel network over Z_a x Z_b with a*b >= N permutes the numbers; a value that
 leaves 0..N-1 walks along its cycle until it is inside. Then shard = p mod k and slot = p div k, so any
 reader computes a row's place from its number, and shards differ by one row at most.
@@ -16,8 +16,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash ranges that are numbered on their own; also the most rows of the table of offsets.
-BUCKETS = 4096
+#: Rows of a hash range that is numbered on its own, about; hexadecimal digits by which ranges are told, at most:
+#: 16 ** DIGITS rows is the bound of the table of offsets.
+BUCKET_ROWS, DIGITS = 256, 5
 #: Prime modulus of the round function; products of two residues stay below 2^62.
 PRIME = 2147483647
 ROUNDS = 6
@@ -88,21 +89,30 @@ def with_permutation(df: DataFrame, number: str, n: int, seed: int, out: str) ->
         return df
     step = lambda x, _: F.when(x < big(n), x).otherwise(_once(x, a, b, keys))
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.col(out), step)
-    return df.withColumn(out, F.when(F.col(out) < big(n), F.col(out)).otherwise(walked))
+    inside = F.when(walked < big(n), walked).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long"))
+    return df.withColumn(out, F.when(F.col(out) < big(n), F.col(out)).otherwise(inside))
 
 
-def row_numbers(df: DataFrame, order: list[str], key: str, out: str) -> DataFrame:
-    """Adds gapless numbers from 0 in the order of (key, *order), key being a lower-case hex digest.
+def digits_for(n: int) -> int:
+    """Leading digits of the hash whose ranges hold about BUCKET_ROWS rows."""
+    digits = 1
+    while digits < DIGITS and n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def row_numbers(df: DataFrame, order: list[str], key: str, out: str, n: int) -> DataFrame:
+    """Adds gapless numbers from 0 to its n rows in the order of (key, *order), key being a lower-case hex digest.
 
     Null digests do not occur (callers hash a text that is never null). Rows equal in key and order are
-    interchangeable. Costs one aggregation to at most BUCKETS rows and one exchange by bucket."""
+    interchangeable. Costs one aggregation to at most 16 ** DIGITS rows and one exchange by bucket."""
     bucket, before = f"{out}__b", f"{out}__before"
-    df = df.withColumn(bucket, F.conv(F.substring(key, 1, 3), 16, 10).cast("int"))
+    df = df.withColumn(bucket, F.conv(F.substring(key, 1, digits_for(n)), 16, 10).cast("int"))
     counts = df.groupBy(bucket).agg(F.count("*").alias(before))
     upto = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(bucket, F.coalesce(F.sum(before).over(upto), F.lit(0)).alias(before))
     inside = F.row_number().over(Window.partitionBy(bucket).orderBy(key, *order))
-    # at most BUCKETS rows of two numbers: a proven bound for the broadcast
+    # at most 16 ** DIGITS rows of two numbers: a proven bound for the broadcast
     return df.join(F.broadcast(offsets), bucket).withColumn(out, F.col(before) + inside - 1).drop(bucket, before)
 
 
@@ -118,7 +128,7 @@ def shard(df: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "doc_id",
     key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.lit(":"), F.md5(text)))
     base = df.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text), "__key": key})
     n = df.count()
-    numbered = row_numbers(base, [id_col, "size", "text_crc32"], "__key", "__n")
+    numbered = row_numbers(base, [id_col, "size", "text_crc32"], "__key", "__n", n)
     placed = with_permutation(numbered, "__n", n, seed, "__p")
     k = F.lit(shards).cast("long")
     return placed.withColumns({"shard": (F.col("__p") % k).cast("int"), "slot": F.expr(f"__p div {shards}L")}).select(
