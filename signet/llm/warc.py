@@ -69,14 +69,21 @@ def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records(page_id, url: str, payload: bytes, first_page, first_url: str | None, name: str, segment: int = SEGMENT):
-    """The records of one page, in order."""
-    rid = f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"
+
+
+def records(page_id, url: str, payload: bytes, first_page, first_url: str | None, name: str, segment: int = SEGMENT, single: bool = False):
+    """The records of one page, in order. single: one row alone is its payload's response, so that revisits can name its
+    record by page and digest (WARC-Refers-To); else they name its page and address only."""
+    if single and first_page is None:
+        name = f"{page_id}:{digest(payload)}"
+    rid = record_id(name)
     own = [("WARC-Target-URI", url), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Payload-Length", str(len(payload)))]
     if page_id is not None:
         own.append(("X-Page-Id", str(page_id)))
     if first_page is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", rid), *own, ("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", first_url or ""), ("X-Refers-To-Page", str(first_page)), ("Content-Type", "application/http; msgtype=response")], HTTP.split(b"Transfer-")[0] + b"\r\n")
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", rid), *own, ("WARC-Profile", PROFILE), *([("WARC-Refers-To", record_id(f"{first_page}:{digest(payload)}"))] if single else []), ("WARC-Refers-To-Target-URI", first_url or ""), ("X-Refers-To-Page", str(first_page)), ("Content-Type", "application/http; msgtype=response")], HTTP.split(b"Transfer-")[0] + b"\r\n")
         return
     block = HTTP + chunked(payload)
     if len(block) <= segment:
@@ -93,9 +100,11 @@ def records(page_id, url: str, payload: bytes, first_page, first_url: str | None
 
 
 def _open(root: str):
+    """File system and folder of a root as Spark names it; Hadoop's names of object stores are Arrow's without the letter."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(root)
+    scheme, mark, rest = root.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + mark + rest)
 
 
 def _writer(root: str, segment: int):
@@ -111,14 +120,14 @@ def _writer(root: str, segment: int):
 
         index = 0
         for batch in W.pieces(batches, "html"):
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "first_page", "first_url")]
-            for page_id, url, html, first_page, first_url in zip(*columns, strict=True):
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "first_page", "first_url", "single")]
+            for page_id, url, html, first_page, first_url, single in zip(*columns, strict=True):
                 if stream is None:
                     files.create_dir(base, recursive=True)
                     final = f"{base}/{task}-{len(done)}.warc.gz"
                     temporary, n, size = f"{final}.open", 0, 0
                     stream = files.open_output_stream(temporary, compression=None)
-                for raw in records(page_id, url or "", (html or "").encode(), first_page, first_url, f"{task}:{index}", segment):
+                for raw in records(page_id, url or "", (html or "").encode(), first_page, first_url, f"{task}:{index}", segment, bool(single)):
                     z = zlib.compressobj(4, zlib.DEFLATED, 31)
                     packed = z.compress(raw) + z.flush()
                     stream.write(packed)
@@ -144,12 +153,16 @@ def write_warc(pages: DataFrame, root: str | None = None, id_col: str = "page_id
     root = root or table_path(spark, "warc")
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("key", F.sha1(F.col("html").cast("binary")))
-    # digests that more than one row has: the only ones that need an answer
-    known = base.groupBy("key").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("f"), F.count("*").alias("n")).filter("n > 1")
-    known = known.select("key", F.col("f.page_id").alias("p"), F.col("f.url").alias("u"))
-    joined = base.join(known, "key", "left")
+    # who answers for a digest that more than one row has; only pages and digests are exchanged for it, and the pages'
+    # contents go by page and digest, so that a payload of many pages is no key of its own
+    pages_of = base.groupBy("page_id", "key").agg(F.min("url").alias("url"), F.count("*").alias("rows"))
+    known = pages_of.groupBy("key").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "rows"))).alias("f"), F.sum("rows").alias("n")).filter("n > 1")
+    told = pages_of.select("page_id", "key").join(known.filter("f is not null"), "key")
+    told = told.select(F.col("page_id").alias("of"), F.col("key").alias("of_key"), F.col("f.page_id").alias("p"), F.col("f.url").alias("u"), (F.col("f.rows") == 1).alias("one"))
+    joined = base.join(told, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
     again = F.col("p").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("p"))
-    out = joined.select("page_id", "url", "html", F.when(again, F.col("p")).alias("first_page"), F.when(again, F.col("u")).alias("first_url"))
+    single = F.coalesce("one", F.col("page_id").isNotNull() & F.col("p").isNull())
+    out = joined.select("page_id", "url", "html", F.when(again, F.col("p")).alias("first_page"), F.when(again, F.col("u")).alias("first_url"), single.alias("single"))
     return Table(out.mapInArrow(_writer(root, segment), "path string, records long"), "manifest").df, root
 
 
