@@ -82,8 +82,12 @@ def _splits() -> None:
         if task in ("direction", "sign", "four_class_signed_digraph"):
             c = Chain()
             kind = "1" if task == "direction" else "case when w > 0 then 1 else 0 end"
-            c.add(f"select s as split, src, dst, row_number() over (partition by s, kind order by {hash_key('0', 's', 'src', 'dst')}, src, dst) as r, count(*) over (partition by s, kind) as m from (select *, {kind} as kind from g), (select cast(unnest(range(2)) as integer) as s)", "e")
-            c.add("select split, src, dst, case when r <= floor(m * 0.15) then 'test' when r <= floor(m * 0.15) + floor(m * 0.05) then 'val' when r <= floor(m * 1.0) + 1 then 'train' end as part from e", "d")
+            # a share of all edges; in signed tasks the share of a sign in it, rounded half to even
+            m = "(select count(*) from g)"
+            pos = "(select (count(*) filter (w > 0))::double / count(*) from g)"
+            quota = lambda p, task=task: f"floor(m * {p}::double)" if task == "direction" else f"round_even({p}::double * m * case when kind = 1 then {pos} else 1 - {pos} end, 0)"
+            c.add(f"select s as split, src, dst, row_number() over (partition by s, kind order by {hash_key('0', 's', 'src', 'dst')}, src, dst) as r, kind, {m} as m from (select *, {kind} as kind from g), (select cast(unnest(range(2)) as integer) as s)", "e")
+            c.add(f"select split, src, dst, case when r <= {quota(0.15)} then 'test' when r <= {quota(0.15)} + {quota(0.05)} then 'val' else 'train' end as part from e", "d")
             c.add("select d.split, d.part, d.src, d.dst, a.w, coalesce(b.w, 0) as r from d join g a on a.src = d.src and a.dst = d.dst left join g b on b.src = d.dst and b.dst = d.src where part is not null", "p")
             got = sql.replace("select src, dst,", "select split, part, src, dst,").replace("select dst, src,", "select split, part, dst, src,")
             query(f"link_split_{task}", c.sql(got))(lambda f, task=task: splits.link_split(f.g, f.nodes, 1, task, maintain_connect=False)[0])

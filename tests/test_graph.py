@@ -1,5 +1,6 @@
 """Micro graphs with results by hand, invariants of splits and generators, and readers of files."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -135,6 +136,38 @@ def test_link_split_invariants(spark):
         g.link_split("sign")
 
 
+def test_link_split_quotas(spark):
+    """Shares of a sign are rounded half to even of the share of all edges; too few loose edges are an error."""
+    rows = [(i, i + 1, 1.0 if i < 30 else -1.0) for i in range(50)]
+    e, v = spark.createDataFrame(rows, "src long, dst long, w double"), spark.range(51).select("id")
+    links, _ = splits.link_split(e, v, 51, "sign", splits=1, prob_test=0.25, prob_val=0.05, maintain_connect=False)
+    n = {(r.part, r.label): r.n for r in links.groupBy("part", "label").agg(F.count("*").alias("n")).collect()}
+    # 0.25 * 50 * 0.6 = 7.5 -> 8; 0.25 * 50 * 0.4 = 5; 0.05 * 50 * 0.6 = 1.5 -> 2; 0.05 * 50 * 0.4 = 1
+    assert n == {("test", 1): 8, ("test", 0): 5, ("val", 1): 2, ("val", 0): 1, ("train", 1): 20, ("train", 0): 14}
+    with pytest.raises(ValueError):
+        splits.link_split(e, v, 51, "sign", splits=1)
+    with pytest.raises(ValueError):
+        splits.sample_per_class(v.withColumn("y", F.lit(0)), 52)
+
+
+def test_link_weights_and_mutual_pairs(spark):
+    e = spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0), (1, 2, -4.0)], "src long, dst long, w double")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "src long, dst long")
+    got = splits.link_labels(pairs, e, "five_class_signed_digraph", weights=True).collect()
+    assert {tuple(r) for r in got} == {(1, 2, 1, -4.0), (2, 1, 3, -4.0), (0, 2, 4, 0.0)}
+    assert [tuple(r) for r in splits.mutual_pairs(pairs, e).collect()] == [(0, 1)]
+
+
+def test_numbers_in_two_levels(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 3).alias("g"))
+    got = splits.by_hash(rows, ["g"], F.md5(F.col("id").cast("string")), ["id"]).collect()
+    for g in range(3):
+        own = sorted((r.r, r.id) for r in got if r.g == g)
+        assert [r for r, _ in own] == list(range(1, len(own) + 1))
+        want = sorted((i for i in range(500) if i % 3 == g), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        assert [i for _, i in own] == want
+
+
 def test_sparsify_keeps_ties(spark):
     m = spark.createDataFrame([(0, 1, 3.0), (1, 0, -3.0), (1, 1, 1.0)], "src long, dst long, w double")
     assert E.sparsify(m, 2, 0.25).count() == 2
