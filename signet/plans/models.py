@@ -75,7 +75,7 @@ def dgcn_trunk(a: DataFrame, a_in: DataFrame, a_out: DataFrame, nodes: DataFrame
     for w in (w1, w2):
         x = P.dense(x, w)
         width = len(w[0])
-        x = P.activate(P.concat(*[(Y.dgcn_conv(e, nodes, x), width) for e in (a, a_in, a_out)]), "relu")
+        x = kept(P.activate(P.concat(*[(Y.dgcn_conv(e, nodes, x), width) for e in (a, a_in, a_out)]), "relu"))  # each round reads it three times, and a link head twice
     return x, 3 * width
 
 
