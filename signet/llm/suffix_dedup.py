@@ -4,8 +4,8 @@ Every byte that lies in a string of SPAN bytes which also starts in a document o
 
 1. Anchors. The least hash of the GRAM-byte strings inside a SPAN-byte window is the window's anchor. Equal
    windows have equal anchors, so documents with different anchors share nothing there, and runs of windows with
-   one anchor (segments) are dealt by it: 11 bytes for each segment, packed, to buckets whose number follows
-   the input.
+   one anchor (segments) are dealt by it: 11 bytes for each segment, packed, and about 5 that name its text, to
+   buckets whose number follows the input. The texts' own keys go once for each DEAL bytes of text, not to every bucket.
 2. Classes. Segments of an anchor with equal bytes are a class; in a class all but the smallest id are
    covered whole. Where an anchor has several classes, their windows may agree in part: one segment a class
    goes on with its bytes.
@@ -15,8 +15,10 @@ Every byte that lies in a string of SPAN bytes which also starts in a document o
    belong to its smallest id are covered.
 
 Anchors, classes and arrays see every window of every document. Classes rest on 88 bits of hash, arrays on the
-bytes, rows are named by 128 bits. Anchors of more than HOT classes are split: their windows go on one by one, dealt
-by their own bytes, so that no anchor is one task's array. The text is dealt once: the plan uses that exchange both for the segments' bytes and for the result.
+bytes, rows are named by 128 bits. Anchors of more than HOT classes are split: a segment's windows go on in up to four
+ranges of the anchor's place in them, each dealt by the 43 or 44 bytes that all windows of the range have around the anchor, so
+that no anchor is one task's array. The text is dealt once: both uses of it, for the segments' bytes and for the
+result, take the same columns, so the plan has one exchange for them.
 """
 
 from __future__ import annotations
@@ -36,8 +38,11 @@ SPAN, GRAM = 50, 20
 #: Windows of one segment at most; text bytes for each bucket; bytes of joined segments for
 #: each array: what Python holds of an array of this size stays in a core's cache.
 LONGEST, BUCKET_BYTES, ARRAY = 512, 8 << 20, 8_000
-#: Classes of an anchor above which its windows are dealt by their own bytes.
+#: Text bytes whose segments are dealt together: one row for each bucket.
+DEAL = 8 << 20
+#: Classes of an anchor above which its windows are dealt by more of their bytes, in these ranges of the anchor's place.
 HOT = 4096
+RANGES = ((0, 7), (8, 15), (16, 23), (24, SPAN - GRAM))
 _H = np.uint64((1 << 48) - 1)
 _G = np.uint64((1 << 40) - 1)
 _PLACE = np.uint64((1 << 21) - 1)
@@ -62,11 +67,10 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     return [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(6)]
 
 
-def _segments(data, offsets, number, a, b):
-    d = data[a:b]
+def _anchors(d: np.ndarray):
+    """(running sums, inverse powers, anchor, place) of a text's bytes; the last two for each window, place being the
+    first in the window."""
     n, w = len(d), SPAN - GRAM + 1
-    if n < SPAN:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
     power, inverse = W._powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -79,7 +83,15 @@ def _segments(data, offsets, number, a, b):
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     place = (np.minimum(low[:m], low[w - span : w - span + m]) & _PLACE).astype(np.int64)
-    low = gram[place]
+    return total, inverse, gram[place], place
+
+
+def _segments(data, offsets, number, a, b):
+    d = data[a:b]
+    if len(d) < SPAN:
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
+    total, inverse, low, place = _anchors(d)
+    m = len(low)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, a, b)))
     p = np.flatnonzero(of[:m] == of[SPAN - 1 : SPAN - 1 + m])
     if not len(p):
@@ -114,8 +126,24 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return (W.mix64(h) % np.uint64(buckets)).astype(np.int64)
 
 
-BLOBS = "bucket int, piece long, keys binary, ids binary, sizes binary, segments binary"
-_BLOB_TYPES = [("bucket", pa.int32()), ("piece", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("segments", pa.binary())]
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers (one at least) as the least of them, then the bytes that each has above it: all last bytes, all before the last and so on."""
+    low = x.min()
+    over = (x - low).view(np.uint64)  # may wrap, and wraps back
+    width = max(1, -(-int(over.max()).bit_length() // 8))
+    return low.tobytes() + bytes([width]) + over.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _widen(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=9).reshape(raw[8], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : raw[8]] = planes.T
+    return wide.view(np.int64)[:, 0] + np.frombuffer(raw, np.int64, 1)
+
+
+#: A bucket below 0 has the keys of a piece's texts in `texts`, others have their numbers in the piece, less the one before.
+BLOBS = "bucket int, piece long, texts binary, ids binary, sizes binary, segments binary"
+_BLOB_TYPES = [("bucket", pa.int32()), ("piece", pa.int64()), ("texts", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("segments", pa.binary())]
 
 
 def _rows(rows, types):
@@ -131,26 +159,58 @@ def _keys(batch) -> np.ndarray:
     return np.stack([_numbers(batch, "key"), _numbers(batch, "key2")], axis=1)
 
 
+def _blobs(held: list, buckets: int, number: int):
+    """Rows of BLOBS for texts that are dealt together."""
+    first = np.cumsum([0, *[len(key) for key, *_ in held]])
+    key, rank = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    text = np.concatenate([x[2] + n for x, n in zip(held, first, strict=False)])
+    h, g = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
+    if not len(text):
+        return
+    # the keys in their order are part of the name: rows of two attempts that read in different orders never mix
+    with np.errstate(over="ignore"):
+        own = W.mix64(key.view(np.uint64).ravel() + np.arange(key.size, dtype=np.uint64) * W._P).sum(dtype=np.uint64)
+        piece = int(W.mix64(np.array([own + W.mix64(np.array([number], np.uint64))[0]])).view(np.int64)[0])
+    yield -1 - piece % buckets, piece, key.tobytes(), None, None, None
+    b = _bucket(h, buckets)
+    order = np.argsort(b, kind="stable")
+    line = b[order]
+    starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(line)], strict=True):
+        own = order[lo:hi]
+        at = np.flatnonzero(np.concatenate([[True], np.diff(text[own]) != 0]))
+        who = text[own[at]]
+        yield int(line[lo]), piece, _narrow(np.diff(who, prepend=0)), _narrow(rank[who]), _narrow(np.diff(at, append=hi - lo)), _pack(h[own], g[own])
+
+
 def _deal(buckets: int):
     def run(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+
+        def out(held):
+            rows, size = [], 0
+            for row in _blobs(held, buckets, number):
+                rows.append(row)
+                size += sum(len(x) for x in row[2:] if x)
+                if size >= 1 << 20 or len(rows) >= 1000:
+                    yield _rows(rows, _BLOB_TYPES)
+                    rows, size = [], 0
+            if rows:
+                yield _rows(rows, _BLOB_TYPES)
+
+        held, size = [], 0
         for batch in W.pieces(batches, "text"):
-            key, rank = _keys(batch), _numbers(batch, "rank")
-            text, _, _, h, g, _ = segments(*W.buffers(batch.column(batch.schema.get_field_index("text"))))
-            if not len(text):
-                continue
-            with np.errstate(over="ignore"):
-                piece = int(W.mix64(np.array([key[:, 0].copy().view(np.uint64).sum(dtype=np.uint64) * W._P + np.uint64(len(key))])).view(np.int64)[0])
-            b = _bucket(h, buckets)
-            order = np.argsort(b, kind="stable")
-            line = b[order]
-            starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-            rows = []
-            for lo, hi in zip(starts, np.append(starts[1:], len(line)), strict=True):
-                own = order[lo:hi]
-                who, n = np.unique(text[own], return_counts=True)
-                rows.append((int(line[lo]), piece, key[who].tobytes(), rank[who].tobytes(), n.astype(np.int32).tobytes(), _pack(h[own], g[own])))
-            for lo in range(0, len(rows), 1000):
-                yield _rows(rows[lo : lo + 1000], _BLOB_TYPES)
+            data, offsets = W.buffers(batch.column(batch.schema.get_field_index("text")))
+            text, _, _, h, g, _ = segments(data, offsets)
+            held.append((_keys(batch), _numbers(batch, "rank"), text, h, g))
+            size += len(data)
+            if size >= DEAL:
+                yield from out(held)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield from out(held)
 
     return run
 
@@ -178,31 +238,38 @@ def states(h: np.ndarray, g: np.ndarray, rank: np.ndarray, hot: int = HOT) -> np
     return out
 
 
+CLASSIFIED = "piece long, bucket int, texts binary, sizes binary, states binary"
+
+
 def _classify(table: pa.Table, hot: int = HOT) -> pa.Table:
-    """A bucket's blobs -> (piece, bucket, keys, sizes, states)."""
+    """A bucket's blobs -> CLASSIFIED; keys of texts go on to their pieces as they are."""
     get = lambda n: table.column(n).to_pylist()
-    sizes = [np.frombuffer(x, np.int32) for x in get("sizes")]
-    rank = np.concatenate([np.repeat(np.frombuffer(r, np.int64), s) for r, s in zip(get("ids"), sizes, strict=True)])
-    both = [_unpack(x) for x in get("segments")]
-    state = states(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]), rank, hot)
-    ends = np.cumsum([int(s.sum()) for s in sizes])
-    parts = [state[e - int(s.sum()) : e].tobytes() for e, s in zip(ends, sizes, strict=True)]
-    return pa.table({"piece": table.column("piece"), "bucket": table.column("bucket"), "keys": table.column("keys"), "sizes": table.column("sizes"), "states": pa.array(parts, pa.binary())})
+    if table.column("bucket")[0].as_py() < 0:
+        parts = [None] * len(table)
+    else:
+        sizes = [_widen(x) for x in get("sizes")]
+        rank = np.concatenate([np.repeat(_widen(r), s) for r, s in zip(get("ids"), sizes, strict=True)])
+        both = [_unpack(x) for x in get("segments")]
+        state = states(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]), rank, hot)
+        ends = np.cumsum([int(s.sum()) for s in sizes])
+        parts = [state[e - int(s.sum()) : e].tobytes() for e, s in zip(ends, sizes, strict=True)]
+    return pa.table({"piece": table.column("piece"), "bucket": table.column("bucket"), "texts": table.column("texts"), "sizes": table.column("sizes"), "states": pa.array(parts, pa.binary())})
 
 
 def _by_text(table: pa.Table) -> pa.Table:
     """All buckets of one piece -> (key, key2, states) for each text with a state: states in the order of buckets."""
     order = np.argsort(np.array(table.column("bucket").to_pylist()), kind="stable")
     get = lambda n: [table.column(n)[int(k)].as_py() for k in order]
-    keys, sizes = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in get("keys")], [np.frombuffer(x, np.int32) for x in get("sizes")]
-    who = np.repeat(np.concatenate(keys), np.concatenate(sizes), axis=0)
-    state = np.frombuffer(b"".join(get("states")), np.uint8)
-    at = np.lexsort((who[:, 1], who[:, 0]))  # stable
+    (names, *texts), sizes = get("texts"), get("sizes")[1:]
+    key = np.frombuffer(names, np.int64).reshape(-1, 2)
+    who = np.concatenate([np.repeat(np.cumsum(_widen(t)), _widen(s)) for t, s in zip(texts, sizes, strict=True)])
+    state = np.frombuffer(b"".join(get("states")[1:]), np.uint8)
+    at = np.argsort(who, kind="stable")
     who, state = who[at], state[at]
-    start = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]).any(axis=1)]))
+    start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
     ends = np.append(start[1:], len(who))
     some = np.maximum.reduceat(state, start) > 0
-    found = who[start[some]]
+    found = key[who[start[some]]]
     return pa.table({"key": pa.array(found[:, 0].copy()), "key2": pa.array(found[:, 1].copy()), "states": pa.array([state[a:b].tobytes() for a, b in zip(start[some], ends[some], strict=True)], pa.binary())})
 
 
@@ -222,6 +289,25 @@ def _stated(batch, buckets: int):
     return data, offsets, text[some], start[some], end[some], h[some], place[some], state[some]
 
 
+def ranges(raw: bytes, place: int):
+    """(name, start, end, place) of the windows of a segment by RANGES. place: the anchor's, -1 where it is not one.
+
+    Equal windows have the anchor at the same place, and name is a hash of the bytes that all windows of the range have
+    around it, so they meet under one name."""
+    if place >= 0:
+        runs = [(0, len(raw) - SPAN, place)]
+    else:  # windows one after another with the anchor in one place
+        places = _anchors(np.frombuffer(raw, np.uint8))[3]
+        at = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])).tolist()
+        runs = [(a, b - 1, int(places[a])) for a, b in zip(at, [*at[1:], len(places)], strict=True)]
+    for first, last, p in runs:
+        for k, (least, most) in enumerate(RANGES):
+            lo, hi = max(first, p - most), min(last, p - least)
+            if lo <= hi:
+                held = bytes([k]) + raw[p - least : p - most + SPAN]
+                yield int.from_bytes(hashlib.blake2b(held, digest_size=6).digest(), "big"), lo, hi + SPAN, p
+
+
 def _material(buckets: int):
     types = [("anchor", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("rank", pa.int64()), ("at", pa.int64()), ("anchor_at", pa.int64()), ("bytes", pa.binary())]
 
@@ -234,10 +320,8 @@ def _material(buckets: int):
                 i, a, b = text[k], int(start[k]), int(end[k])
                 who, raw = (int(key[i, 0]), int(key[i, 1]), int(rank[i])), data[a:b].tobytes()
                 if state[k] == SPLIT:
-                    for w in range(b - a - SPAN + 1):
-                        part = raw[w : w + SPAN]
-                        name = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                        rows.append((name, *who, int(a + w - offsets[i]), -1, part))
+                    at = int(a - offsets[i])
+                    rows += [(name, *who, at + lo, p - lo, raw[lo:hi]) for name, lo, hi, p in ranges(raw, int(place[k] - a) if place[k] >= 0 else -1)]
                 else:
                     rows.append((int(h[k]), *who, int(a - offsets[i]), int(place[k] - a) if place[k] >= 0 else -1, raw))
                 if len(rows) >= 8192:
@@ -395,15 +479,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = df.select(F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)], F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), F.xxhash64(text, F.col(f"`{id_col}`"), F.lit(1)).alias("key2"), rank.alias("rank"), text.alias("text"))
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
-    dealt = base.select("key", "key2", "rank", "text").mapInArrow(_deal(buckets), BLOBS).groupBy("bucket").applyInArrow(lambda t: _classify(t, hot), "piece long, bucket int, keys binary, sizes binary, states binary")
+    dealt = base.select("key", "key2", "rank", "text").mapInArrow(_deal(buckets), BLOBS).groupBy("bucket").applyInArrow(lambda t: _classify(t, hot), CLASSIFIED)
     # equal rows have equal states and one key
     state = Table(dealt.groupBy("piece").applyInArrow(_by_text, "key long, key2 long, states binary").dropDuplicates(["key", "key2"]), "states").df
+    # both uses take all columns: were some left out of one, the text would be dealt twice
     stated = base.join(state, ["key", "key2"], "left")
-    several = stated.select("key", "key2", "rank", "text", "states").mapInArrow(_material(buckets), "anchor long, key long, key2 long, rank long, at long, anchor_at long, bytes binary")
+    several = stated.mapInArrow(_material(buckets), "anchor long, key long, key2 long, rank long, at long, anchor_at long, bytes binary")
     groups = max(1, buckets // 2)
     spans = several.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(_arrays, "key long, key2 long, spans binary")
     spans = spans.distinct().groupBy("key", "key2").agg(F.collect_list("spans").alias("spans"))
-    whole = stated.join(spans, ["key", "key2"], "left").select("__id", *[f"__{k}" for k in range(len(keep))], "text", "states", "spans")
+    whole = stated.join(spans, ["key", "key2"], "left")
     extra = ("__id", *[f"__{k}" for k in range(len(keep))])
     kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in extra)
     out = whole.mapInArrow(_finish(buckets, extra, payload), f"{kinds}, {RESULT}")
