@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from signet.operators import edges as E
 from signet.operators import proximity
-from signet.plans import layers, models
+from signet.plans import layers, losses, models
 
 
 def _graph(spark, rows):
@@ -48,3 +48,31 @@ def test_dgcn_of_a_hub(spark):
     assert width == 3 and len(got) == 3 * (n + 1)
     # all leaves are alike: the normalised sums are of one value over n equal places
     assert got[1, 1] == pytest.approx(got[n, 1]) and got[1, 1] > 0
+
+
+def _numpy_loss(a, b, tau, batched):
+    a, b = (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12) for x in (a, b))
+
+    def half(p, q):
+        r, s = np.exp(p @ p.T / tau), np.exp(p @ q.T / tau)
+        return -np.log(np.diag(s) / (r.sum(axis=1) + (s.sum(axis=1) if batched else np.diag(s)) - np.diag(r)))
+
+    return (half(a, b) + half(b, a)) / 2
+
+
+@pytest.mark.parametrize("batched", [False, True])
+def test_contrastive(spark, batched, monkeypatch):
+    def view(n, shift):
+        at = spark.range(n).select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
+        return at.select("id", "pos", ((F.col("id") * (5 + F.col("pos")) + shift * 3) % 17 - 7.5 + F.col("id") / n + shift * 0.3).alias("val"))
+
+    def table(n, shift):
+        i, p = np.arange(n)[:, None], np.arange(3)[None, :]
+        return (i * (5 + p) + shift * 3) % 17 - 7.5 + i / n + shift * 0.3
+
+    for n, block in ((50, 7), (1, 2048), (8_000, 2048)):  # the last: 64,000,000 pairs in each of two to four products
+        monkeypatch.setattr(losses, "BLOCK", block)
+        want = _numpy_loss(table(n, 0), table(n, 1), 0.4, batched)
+        assert losses.contrastive(view(n, 0), view(n, 1), 0.4, batched).first().loss == pytest.approx(want.mean(), rel=1e-9)
+    assert losses.contrastive(view(50, 0), view(50, 1), 0.4, batched, mean=False).first().loss == pytest.approx(_numpy_loss(table(50, 0), table(50, 1), 0.4, batched).sum())
+    assert losses.contrastive(view(0, 0), view(0, 1), 0.4, batched).first().loss is None
