@@ -10,8 +10,9 @@ Every byte that lies in a string of SPAN bytes which also starts in a document o
    covered whole. Where an anchor has several classes, their windows may agree in part: one segment a class
    goes on with its bytes.
 3. Suffix arrays. Segments are clipped to what they can share (longest agreement left and right of the anchor with
-   any other segment of it), equal ones become one; those of an anchor are joined with separators, the suffix array is built by linear
-   grouping (suffix_array.py), and neighbours that agree in SPAN bytes form runs; windows of a run that do not
+   any other segment of it), equal ones become one part, and a part that is alone with its anchor needs no array. The
+   others are joined with separators, one byte for the anchor's string in each; the suffix array is built by linear
+   grouping (suffix_array.py), and neighbours that agree in a window form runs; windows of a run that do not
    belong to its smallest id are covered.
 
 Anchors, classes and arrays see every window of every document. Classes rest on 88 bits of hash, arrays on the
@@ -68,46 +69,65 @@ def segments(data: np.ndarray, offsets: np.ndarray):
 
 
 def _anchors(d: np.ndarray):
-    """(running sums, inverse powers, anchor, place) of a text's bytes; the last two for each window, place being the
-    first in the window."""
+    """(running sums, inverse powers, hashes, place) of a text's bytes; place is where the anchor of each window first
+    begins, in the window, and hashes has the anchor there."""
     n, w = len(d), SPAN - GRAM + 1
     power, inverse = W._powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((d.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        gram = W.mix64((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
+        byte = d.astype(np.uint64)
+        byte += np.uint64(1)
+        byte *= power[:n]
+        np.cumsum(byte, out=total[1:])
+        gram = total[GRAM:] - total[:-GRAM]
+        gram *= inverse[: n - GRAM + 1]
+    gram = W.mix64(gram)
     # least hash of each window and its first place, packed into one number
-    low = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
+    low = gram & ~_PLACE
+    low |= np.arange(len(gram), dtype=np.uint64)
     m, span = len(low) - w + 1, 1
     while span * 2 <= w:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    place = (np.minimum(low[:m], low[w - span : w - span + m]) & _PLACE).astype(np.int64)
-    return total, inverse, gram[place], place
+    low = np.minimum(low[:m], low[w - span : w - span + m])
+    low &= _PLACE
+    return total, inverse, gram, low.view(np.int64)
 
 
 def _segments(data, offsets, number, a, b):
     d = data[a:b]
+    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
     if len(d) < SPAN:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
-    total, inverse, low, place = _anchors(d)
-    m = len(low)
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, a, b)))
-    p = np.flatnonzero(of[:m] == of[SPAN - 1 : SPAN - 1 + m])
-    if not len(p):
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
-    low, place = low[p], place[p]
-    cut = np.concatenate([[True], (low[1:] != low[:-1]) | (np.diff(p) != 1) | (of[p[1:]] != of[p[:-1]])])
-    at = np.flatnonzero(cut)
-    size = np.diff(np.append(at, len(p)))
+        return none
+    total, inverse, gram, place = _anchors(d)
+    m = len(place)
+    # where the anchor moves it may be another; texts begin anew, and windows that leave their text follow its last one
+    edge = np.clip(offsets, a, b) - a
+    moved = np.flatnonzero(place[1:] != place[:-1]) + 1
+    moved = moved[gram[place[moved]] != gram[place[moved - 1]]]
+    cut = np.zeros(len(d) + 1, bool)
+    cut[moved] = True
+    cut[edge[:-1]] = True
+    cut[np.maximum(edge[1:] - SPAN + 1, edge[:-1])] = True
+    at = np.flatnonzero(cut[:m])
+    after = np.append(at[1:], m)
+    of = np.searchsorted(edge, at, "right") - 1
+    inside = at + SPAN <= edge[of + 1]
+    at, after, of = at[inside], after[inside], of[inside]
+    if not len(at):
+        return none
+    size = after - at
     if size.max() > LONGEST:
-        long = np.flatnonzero(size > LONGEST)
-        at = np.sort(np.concatenate([at, *[np.arange(at[k] + LONGEST, at[k] + size[k], LONGEST) for k in long]]))
-    start, end = p[at], p[np.append(at[1:], len(p)) - 1] + SPAN
+        parts = -(-size // LONGEST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        of, after = np.repeat(of, parts), np.repeat(after, parts)
+        at = np.repeat(at, parts) + nth * LONGEST
+        after = np.minimum(after, at + LONGEST)
+    start, end = at, after - 1 + SPAN
     with np.errstate(over="ignore"):
         whole = W.mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    fixed = end - SPAN <= place[at]
-    return of[start] + number, start + a, end + a, low[at] & _H, whole & _G, np.where(fixed, place[at] + a, -1)
+    first = place[at]
+    return of + number, start + a, end + a, gram[first] & _H, whole & _G, np.where(end - SPAN <= first, first + a, -1)
 
 
 def _pack(h: np.ndarray, g: np.ndarray) -> bytes:
@@ -278,29 +298,28 @@ def _stated(batch, buckets: int):
     data, offsets = W.buffers(batch.column(batch.schema.get_field_index("text")))
     text, start, end, h, _, place = segments(data, offsets)
     state = np.zeros(len(text), np.uint8)
-    first = np.searchsorted(text, np.arange(len(offsets)))
-    for i, raw in enumerate(batch.column(batch.schema.get_field_index("states")).to_pylist()):
-        if raw is not None:
-            own = slice(first[i], first[i + 1])
-            part = np.empty(first[i + 1] - first[i], np.uint8)
-            part[np.argsort(_bucket(h[own], buckets), kind="stable")] = np.frombuffer(raw, np.uint8)
-            state[own] = part
+    raw = batch.column(batch.schema.get_field_index("states"))
+    own = np.flatnonzero(raw.is_valid().to_numpy(zero_copy_only=False)[text])
+    if len(own):  # a text's states are in the order of buckets
+        order = np.lexsort((_bucket(h[own], buckets), text[own]))
+        state[own[order]] = np.frombuffer(b"".join(x for x in raw.to_pylist() if x is not None), np.uint8)
     some = state > 0
     return data, offsets, text[some], start[some], end[some], h[some], place[some], state[some]
 
 
+def placed(raw: bytes):
+    """(first, last, place) of runs of a segment's windows that have the anchor in one place."""
+    places = _anchors(np.frombuffer(raw, np.uint8))[3]
+    at = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])).tolist()
+    return [(a, b - 1, int(places[a])) for a, b in zip(at, [*at[1:], len(places)], strict=True)]
+
+
 def ranges(raw: bytes, place: int):
     """(name, start, end, place) of the windows of a segment by RANGES. place: the anchor's, -1 where it is not one.
 
     Equal windows have the anchor at the same place, and name is a hash of the bytes that all windows of the range have
     around it, so they meet under one name."""
-    if place >= 0:
-        runs = [(0, len(raw) - SPAN, place)]
-    else:  # windows one after another with the anchor in one place
-        places = _anchors(np.frombuffer(raw, np.uint8))[3]
-        at = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])).tolist()
-        runs = [(a, b - 1, int(places[a])) for a, b in zip(at, [*at[1:], len(places)], strict=True)]
-    for first, last, p in runs:
+    for first, last, p in [(0, len(raw) - SPAN, place)] if place >= 0 else placed(raw):
         for k, (least, most) in enumerate(RANGES):
             lo, hi = max(first, p - most), min(last, p - least)
             if lo <= hi:
@@ -333,9 +352,13 @@ def _material(buckets: int):
     return run
 
 
-def covered_windows(parts: list[bytes], ranks: list[int], span: int = SPAN) -> list[np.ndarray]:
-    """For each part, the starts of its windows of `span` bytes that a part of a smaller rank also has."""
-    t = SEPARATOR.join(p.translate(SHIFT) for p in parts) + SEPARATOR + END
+def covered_windows(parts: list[bytes], ranks: list[int], span: int = SPAN, groups: list[int] | None = None) -> list[np.ndarray]:
+    """For each part, the starts of its windows of `span` bytes that a part of a smaller rank (and the same group) also has."""
+    return _covered([p.translate(SHIFT) for p in parts], ranks, span, groups)
+
+
+def _covered(parts: list[bytes], ranks: list[int], span: int, groups: list[int] | None) -> list[np.ndarray]:
+    t = SEPARATOR.join(parts) + SEPARATOR + END
     order = np.array(suffix_array(t), np.int64)
     first = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
     part = np.searchsorted(first, order, "right") - 1
@@ -348,7 +371,13 @@ def covered_windows(parts: list[bytes], ranks: list[int], span: int = SPAN) -> l
         return out
     view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(t, np.uint8), span)
     same = np.concatenate([(view[order[k : k + 65536]] == view[order[k + 1 : k + 65537]][: len(order[k : k + 65536])]).all(axis=1) if k + 65537 <= len(order) else (view[order[k:-1]] == view[order[k + 1 :]]).all(axis=1) for k in range(0, len(order) - 1, 65536)]) if len(order) > 1 else np.zeros(0, bool)
-    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    begins = np.concatenate([[True], ~same])
+    if groups is not None:  # a run of equal windows, group by group
+        run, group = np.cumsum(begins), np.array(groups, np.int64)[part]
+        by = np.lexsort((group, run))
+        order, part, run, group = order[by], part[by], run[by], group[by]
+        begins[1:] = (run[1:] != run[:-1]) | (group[1:] != group[:-1])
+    start = np.flatnonzero(begins)
     rank = np.array(ranks, np.int64)[part]
     least = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(order))))
     hit = rank > least
@@ -375,63 +404,86 @@ def clipped(anchor: list[int], place: list[int], raw: list[bytes]) -> tuple[np.n
     """(first, after) of each segment's bytes that a window shared with another segment of its anchor can reach.
 
     A window holds its anchor's string, so what it shares reaches no further left and right of it than the longest
-    agreement with any other segment there. Segments without a fixed place keep all."""
+    agreement with any other segment there."""
     reach = SPAN - GRAM
-    first, after = np.zeros(len(raw), np.int64), np.array([len(x) for x in raw], np.int64)
-    rows = [k for k, p in enumerate(place) if p >= 0]
-    if len(rows) < len(raw):
-        # a segment without a place could share with any: anchors that have one are not clipped
-        loose = {anchor[k] for k, p in enumerate(place) if p < 0}
-        rows = [k for k in rows if anchor[k] not in loose]
-    if rows:
-        a, p = [anchor[k] for k in rows], [place[k] for k in rows]
-        left = _shared_length(a, [raw[k][max(0, x - reach) : x][::-1] for k, x in zip(rows, p, strict=True)], reach)
-        right = _shared_length(a, [raw[k][x + GRAM : x + GRAM + reach] for k, x in zip(rows, p, strict=True)], reach)
-        first[rows], after[rows] = np.array(p) - left, np.array(p) + GRAM + right
-    return first, after
+    left = _shared_length(anchor, [x[max(0, p - reach) : p][::-1] for p, x in zip(place, raw, strict=True)], reach)
+    right = _shared_length(anchor, [x[p + GRAM : p + GRAM + reach] for p, x in zip(place, raw, strict=True)], reach)
+    return np.array(place) - left, np.array(place) + GRAM + right
+
+
+def merged(spans: list[np.ndarray]) -> np.ndarray:
+    """The union of some spans, as spans in order that do not touch."""
+    if len(spans) == 1:
+        return spans[0]
+    both = np.concatenate(spans)
+    both = both[np.argsort(both[:, 0], kind="stable")]
+    end = np.maximum.accumulate(both[:, 1])
+    cut = np.flatnonzero(both[1:, 0] > end[:-1])
+    return np.stack([both[np.concatenate([[0], cut + 1]), 0], end[np.append(cut, len(end) - 1)]], axis=1)
+
+
+#: Stands for an anchor's string where parts are joined: no byte of UTF-8, and SHIFT leaves it as it is.
+ANCHOR = b"\xff"
 
 
 def _arrays(table: pa.Table) -> pa.Table:
-    """Segments of some anchors -> (key, key2, spans) with spans as pairs of int64 (start, end in the text)."""
-    anchor, key, key2, rank, at, place, raw = (table.column(n).to_pylist() for n in ("anchor", "key", "key2", "rank", "at", "anchor_at", "bytes"))
+    """Segments of some anchors -> (key, key2, spans) with spans as pairs of int64 (start, end in the text).
+
+    Every window of a clipped part holds the anchor's string once at the part's place for it, so one byte stands for that
+    string and windows are compared within their anchor. A part that is alone with its string shares no window."""
+    names = ("anchor", "key", "key2", "rank", "at", "anchor_at", "bytes")
+    rows = list(zip(*(table.column(n).to_pylist() for n in names), strict=True))
+    loose = [r for r in rows if r[5] < 0]
+    if loose:
+        rows = [r for r in rows if r[5] >= 0]
+        rows += [(*r[:4], r[4] + lo, p - lo, r[6][lo : hi + SPAN]) for r in loose for lo, hi, p in placed(r[6])]
+    anchor, key, key2, rank, at, place, raw = (list(x) for x in zip(*rows, strict=True))
+    del rows, loose
     first, after = (x.tolist() for x in clipped(anchor, place, raw))
-    order = np.argsort(np.array(anchor, np.int64), kind="stable")
-    ends = np.append(np.diff(np.array(anchor, np.int64)[order]) != 0, True)
-    keys, keys2, spans = [], [], []
-    batch: dict[tuple[int, bytes], list[int]] = {}
-    held = 0
-
-    def flush():
-        parts = list(batch)
-        least = [min(rank[r] for r in rows) for rows in batch.values()]
-        for (_, part), rows, low, starts in zip(parts, batch.values(), least, covered_windows([p for _, p in parts], least), strict=True):
-            whole = np.array([[0, len(part)]], np.int64)
-            own = None
-            if len(starts):
-                gap = np.flatnonzero(np.diff(starts) > SPAN)
-                own = np.stack([starts[np.concatenate([[0], gap + 1])], starts[np.append(gap, len(starts) - 1)] + SPAN], axis=1)
-            for r in rows:
-                found = whole if rank[r] > low else own
-                if found is not None:
-                    keys.append(key[r])
-                    keys2.append(key2[r])
-                    spans.append((found + (at[r] + first[r])).astype(np.int64).tobytes())
-        batch.clear()
-
-    for r, end in zip(order.tolist(), ends.tolist(), strict=True):
-        if after[r] - first[r] >= SPAN:
-            part = (anchor[r], raw[r][first[r] : after[r]])
-            if part in batch:
-                batch[part].append(r)
-            else:
-                batch[part] = [r]
-                held += after[r] - first[r]
-        if end and held >= ARRAY:
-            flush()
-            held = 0
+    spans: dict[tuple[int, int], list[np.ndarray]] = {}
+    # by anchor and its string, for two strings may have one hash: rows of each part
+    groups: dict[tuple[int, bytes], dict[bytes, list[int]]] = {}
+    for r, (a, p, x, lo, hi) in enumerate(zip(anchor, place, raw, first, after, strict=True)):
+        if hi - lo >= SPAN:
+            groups.setdefault((a, x[p : p + GRAM]), {}).setdefault(x[lo:hi], []).append(r)
+
+    def add(rows: list[int], low: int, length: int, starts=()):
+        whole = np.array([[0, length]], np.int64)
+        own = None
+        if len(starts):
+            gap = np.flatnonzero(np.diff(starts) > SPAN)
+            own = np.stack([starts[np.concatenate([[0], gap + 1])], starts[np.append(gap, len(starts) - 1)] + SPAN], axis=1)
+        for r in rows:
+            found = whole if rank[r] > low else own
+            if found is not None:
+                spans.setdefault((key[r], key2[r]), []).append(found + (at[r] + first[r]))
+
+    def flush(held):
+        parts = [(part.translate(SHIFT), rows, n) for n, own in enumerate(held) for part, rows in own.items()]
+        short = []
+        for part, rows, _ in parts:
+            p = place[rows[0]] - first[rows[0]]
+            short.append(part[:p] + ANCHOR + part[p + GRAM :])
+        least = [min(rank[r] for r in rows) for _, rows, _ in parts]
+        starts = _covered(short, least, SPAN - GRAM + 1, [n for *_, n in parts])
+        for (part, rows, _), low, found in zip(parts, least, starts, strict=True):
+            add(rows, low, len(part), found)
+
+    batch, held = [], 0
+    for own in groups.values():
+        if len(own) == 1:
+            ((part, rows),) = own.items()
+            if len(rows) > 1:
+                add(rows, min(rank[r] for r in rows), len(part))
+            continue
+        batch.append(own)
+        held += sum(len(part) - GRAM + 1 for part in own)
+        if held >= ARRAY:
+            flush(batch)
+            batch, held = [], 0
     if batch:
-        flush()
-    return pa.table({"key": pa.array(keys, pa.int64()), "key2": pa.array(keys2, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        flush(batch)
+    return pa.table({"key": pa.array([k for k, _ in spans], pa.int64()), "key2": pa.array([k for _, k in spans], pa.int64()), "spans": pa.array([merged(x).tobytes() for x in spans.values()], pa.binary())})
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -479,15 +531,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = df.select(F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep)], F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), F.xxhash64(text, F.col(f"`{id_col}`"), F.lit(1)).alias("key2"), rank.alias("rank"), text.alias("text"))
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-volume // BUCKET_BYTES))
-    dealt = base.select("key", "key2", "rank", "text").mapInArrow(_deal(buckets), BLOBS).groupBy("bucket").applyInArrow(lambda t: _classify(t, hot), CLASSIFIED)
+    dealt = base.select("key", "key2", "rank", "text").mapInArrow(_deal(buckets), BLOBS).groupBy("bucket").applyInArrow(W.trimmed(lambda t: _classify(t, hot)), CLASSIFIED)
     # equal rows have equal states and one key
-    state = Table(dealt.groupBy("piece").applyInArrow(_by_text, "key long, key2 long, states binary").dropDuplicates(["key", "key2"]), "states").df
+    state = Table(dealt.groupBy("piece").applyInArrow(W.trimmed(_by_text), "key long, key2 long, states binary").dropDuplicates(["key", "key2"]), "states").df
     # both uses take all columns: were some left out of one, the text would be dealt twice
     stated = base.join(state, ["key", "key2"], "left")
     several = stated.mapInArrow(_material(buckets), "anchor long, key long, key2 long, rank long, at long, anchor_at long, bytes binary")
     groups = max(1, buckets // 2)
-    spans = several.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(_arrays, "key long, key2 long, spans binary")
-    spans = spans.distinct().groupBy("key", "key2").agg(F.collect_list("spans").alias("spans"))
+    spans = several.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(groups))).applyInArrow(W.trimmed(_arrays), "key long, key2 long, spans binary")
+    spans = spans.groupBy("key", "key2").agg(F.collect_list("spans").alias("spans"))
     whole = stated.join(spans, ["key", "key2"], "left")
     extra = ("__id", *[f"__{k}" for k in range(len(keep))])
     kinds = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in extra)
