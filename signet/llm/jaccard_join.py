@@ -232,7 +232,7 @@ def _sum_counts(table: pa.Table) -> pa.Table:
 
 def _survivors(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Entities whose shared leading tokens reach the bound; a copy's piece counts the same, so the largest holds."""
-    total = counts.filter("piece is not null").select("piece", "ids", "counts").groupBy("piece").applyInArrow(_sum_counts, "e long, shared long")
+    total = counts.filter("piece is not null").select("piece", "ids", "counts").groupBy("piece").applyInArrow(W.trimmed(_sum_counts), "e long, shared long")
     total = total.groupBy("e").agg(F.max("shared").alias("shared"))
     need = F.greatest(F.lit(1).cast("long"), (F.ceil(F.col("n") * PERCENT / F.lit(100)).cast("double") * F.lit(SLACK)).cast("long"))
     return sizes.join(total, "e").filter(F.col("shared") >= need)
@@ -431,7 +431,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: bo
     buckets = max(1, -(-volume // BUCKET_BYTES))
     doc_fields = "id long, n long, e long, k long"
     dealt = narrow.mapInArrow(_first_pass(buckets), f"{BLOBS}, {doc_fields}")
-    counts = Table(dealt.groupBy("bucket").applyInArrow(_count_shared, COUNTS), "counts")
+    counts = Table(dealt.groupBy("bucket").applyInArrow(W.trimmed(_count_shared), COUNTS), "counts")
     docs = counts.df.filter("e is not null").select("id", "n", "e", "k")
     reps = docs.filter("n > 0").groupBy("e").agg(F.min("id").alias("rep"), F.min("k").alias("k"), F.max("n").alias("n"))
     # an original whose copies differ has all its leading tokens in others: the share is what makes a leader
@@ -448,9 +448,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: bo
     buckets_of = lambda df: max(1, -(-(df.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
 
     # one exchange of whole sets: the bound over all tokens, which is LIMIT, and the leaders
-    met = sets.withColumnRenamed("weight", "g").mapInArrow(_dealer(buckets_of(sets), True, True), BLOBS).groupBy("bucket").applyInArrow(_meet, "e long, leader long, shared long, piece long, ids binary, counts binary")
+    met = sets.withColumnRenamed("weight", "g").mapInArrow(_dealer(buckets_of(sets), True, True), BLOBS).groupBy("bucket").applyInArrow(W.trimmed(_meet), "e long, leader long, shared long, piece long, ids binary, counts binary")
     met = Table(met, "met").df
-    count = met.filter("piece is not null").select("piece", "ids", "counts").groupBy("piece").applyInArrow(_sum_counts, "e long, shared long")
+    count = met.filter("piece is not null").select("piece", "ids", "counts").groupBy("piece").applyInArrow(W.trimmed(_sum_counts), "e long, shared long")
     near = Table(sets.select("e", "n").join(count, "e").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("e"), "near").df
     best = met.filter("leader is not null").groupBy("e", "leader").agg(F.sum("shared").alias("shared")).groupBy("e").agg(F.max(F.struct("shared", "leader")).alias("m")).select("e", "m.leader")
     best = Table(best.join(near, "e", "left_semi").join(near.withColumnRenamed("e", "leader"), "leader", "left_semi").select("e", "leader"), "leaders").df
@@ -461,11 +461,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: bo
 
     # a link to another group shares its tokens with that group's union: entities without that many can have none, and
     # are left out on both sides
-    across = grouped.mapInArrow(_dealer(few, True, False), BLOBS).groupBy("bucket").applyInArrow(_count_crossing, "piece long, ids binary, counts binary")
-    across = across.groupBy("piece").applyInArrow(_sum_counts, "e long, shared long")
+    across = grouped.mapInArrow(_dealer(few, True, False), BLOBS).groupBy("bucket").applyInArrow(W.trimmed(_count_crossing), "piece long, ids binary, counts binary")
+    across = across.groupBy("piece").applyInArrow(W.trimmed(_sum_counts), "e long, shared long")
     open_ = Table(grouped.select("e", "n").join(across, "e").filter(F.col("shared") * 100 >= F.col("n") * PERCENT).select("e"), "open").df
     facing = grouped.join(open_, "e", "left_semi")
-    matrix = facing.mapInArrow(_dealer(few, True, True), BLOBS).groupBy("bucket").applyInArrow(_open, "e long, g long, shared long")
+    matrix = facing.mapInArrow(_dealer(few, True, True), BLOBS).groupBy("bucket").applyInArrow(W.trimmed(_open), "e long, g long, shared long")
     matrix = matrix.groupBy("e", "g").agg(F.sum("shared").alias("shared")).join(grouped.select("e", "n"), "e")
     crossing = matrix.filter(F.col("shared") >= F.greatest(F.lit(1).cast("long"), (F.col("n") * F.lit(SLACK)).cast("long"))).select("e", "g")
     opened = Table(crossing, "opened").df
