@@ -56,3 +56,16 @@ def test_triads_of_a_hub(spark):
     r = census.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in census.columns[2:]]).first()
     assert r.n == n + 1 and sum(list(r)[1:]) == 3
     assert (r.d4_1, r.d1_2, r.d2_2) == (1, 1, 1)
+
+
+def test_triangle_weights(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 4)
+    rows = _random(5)
+    g, census = _graph(spark, rows), _census(rows)
+    name = [f"d{i}_{j}" for i in range(1, 5) for j in range(1, 5)]
+    want = {(a, b): sum(n for n, c in zip(census[a, b], name, strict=True) if c in (structure.UNBALANCED if w < 0 else structure.BALANCED)) for a, b, w in rows}
+    assert {(r.src, r.dst): r.tri for r in structure.triangle_weights(g).collect()} == want
+    assert {(r.src, r.dst): r.tri for r in structure.triangle_weights(g, structure.triad_census(g)).collect()} == want
+    assert {(r.src, r.dst): (r.w, r.tri) for r in structure.triangle_weights(g, signs=True).collect()} == {(a, b): (np.sign(w), want[a, b]) for a, b, w in rows}
+    hub = structure.triangle_weights(_hub(spark, 50_000)).agg(F.count("*").alias("n"), F.sum("tri").alias("t")).first()
+    assert tuple(hub) == (50_001, 0)
