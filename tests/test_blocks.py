@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signet.operators import blocks, structure
+from signet.plans import losses
 
 
 def _graph(spark, rows):
@@ -69,3 +70,19 @@ def test_triangle_weights(spark, monkeypatch):
     assert {(r.src, r.dst): (r.w, r.tri) for r in structure.triangle_weights(g, signs=True).collect()} == {(a, b): (np.sign(w), want[a, b]) for a, b, w in rows}
     hub = structure.triangle_weights(_hub(spark, 50_000)).agg(F.count("*").alias("n"), F.sum("tri").alias("t")).first()
     assert tuple(hub) == (50_001, 0)
+
+
+def test_loss_triangle(spark):
+    """No row for each position of an edge's vectors, and weights that bring the signs are not joined with the edges."""
+    rows, w, bias = _random(6), [[0.3], [-0.2], [0.5], [0.1]], [0.1]
+    g = _graph(spark, rows)
+    ids = sorted({v for a, b, _ in rows for v in (a, b)})
+    z = {v: (k % 5 - 2.0, k % 3 / 2) for k, v in enumerate(ids)}
+    vectors = spark.createDataFrame([(v, p, x) for v, xs in z.items() for p, x in enumerate(xs)], "id long, pos int, val double")
+    tri = {(r.src, r.dst): r.tri for r in structure.triangle_weights(g).collect()}
+    score = {(a, b): sum(x * r[0] for x, r in zip(z[a] + z[b], w, strict=True)) + 0.1 for a, b, _ in rows}
+    want = sum(tri[a, b] * np.log1p(np.exp(-np.sign(s) * score[a, b])) for a, b, s in rows)
+    assert losses.triangle(structure.triangle_weights(g), g, vectors, w, bias, 2).first().loss == pytest.approx(want)
+    assert losses.triangle(structure.triangle_weights(g, signs=True), g, vectors, w, bias, 2).first().loss == pytest.approx(want)
+    plan = losses._scores(g, vectors, w, bias, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "Union" not in plan
