@@ -86,3 +86,20 @@ def test_loss_triangle(spark):
     assert losses.triangle(structure.triangle_weights(g, signs=True), g, vectors, w, bias, 2).first().loss == pytest.approx(want)
     plan = losses._scores(g, vectors, w, bias, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2 and "Union" not in plan
+
+
+def test_motif_edges(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 4)
+    rows = _random(7)
+    want = Counter()
+    for k, sign in enumerate((1, -1)):
+        own = {(a, b) for a, b, w in rows if w * sign > 0}
+        want.update((3 * k, a, b) for a, b in own | {(b, a) for a, b in own})
+        want.update((3 * k + 1, a, b) for a, b in own)
+        want.update((3 * k + 2, b, a) for a, b in own)
+        want.update((6 + 16 * k + j, a, b) for (a, b), counts in _census(rows).items() if (a, b) in own for j, n in enumerate(counts) if n)
+    found = structure.motif_edges(_graph(spark, rows))
+    assert Counter(tuple(r) for r in found.collect()) == want
+    n = 50_000
+    hub = {r.motif: r["count"] for r in structure.motif_edges(_hub(spark, n)).groupBy("motif").count().collect()}
+    assert hub == {0: 2 * n, 1: n, 2: n, 3: 2, 4: 1, 5: 1, 7: 1, 11: 1, 34: 1}
