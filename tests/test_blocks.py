@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signet.operators import blocks, structure
+from signet.operators import blocks, proximity, structure
 from signet.plans import losses
 
 
@@ -103,3 +103,21 @@ def test_motif_edges(spark, monkeypatch):
     n = 50_000
     hub = {r.motif: r["count"] for r in structure.motif_edges(_hub(spark, n)).groupBy("motif").count().collect()}
     assert hub == {0: 2 * n, 1: n, 2: n, 3: 2, 4: 1, 5: 1, 7: 1, 11: 1, 34: 1}
+
+
+@pytest.mark.parametrize("least", [4, 1 << 16])
+def test_second_order(spark, monkeypatch, least):
+    monkeypatch.setattr(blocks, "LEAST", least)
+    rows = [(a, b, abs(w)) for a, b, w in _random(8, 60, 150)]
+    ids = sorted({v for a, b, _ in rows for v in (a, b)} | {5})  # 5 has no edge
+    place = {v: k for k, v in enumerate(ids)}
+    p = np.eye(len(ids))
+    for a, b, w in rows:
+        p[place[a], place[b]] += w
+    there = (p > 0).astype(float)
+    p /= p.sum(axis=1, keepdims=True)
+    m = np.where((there.T @ there > 0) & (there @ there.T > 0), (p.T @ p + p @ p.T) / 2, 0)
+    r = m.sum(axis=1) ** -0.5
+    m = r[:, None] * m * r[None, :]
+    found = {(x.src, x.dst): x.w for x in proximity.second_order(_graph(spark, rows), spark.createDataFrame([(v,) for v in ids], "id long")).collect()}
+    assert found == pytest.approx({(ids[i], ids[j]): m[i, j] for i, j in zip(*np.nonzero(m), strict=True)})
