@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signet.operators import blocks, proximity, structure
-from signet.plans import losses
+from signet.plans import layers, losses, models
 
 
 def _graph(spark, rows):
@@ -121,3 +121,18 @@ def test_second_order(spark, monkeypatch, least):
     m = r[:, None] * m * r[None, :]
     found = {(x.src, x.dst): x.w for x in proximity.second_order(_graph(spark, rows), spark.createDataFrame([(v,) for v in ids], "id long")).collect()}
     assert found == pytest.approx({(ids[i], ids[j]): m[i, j] for i, j in zip(*np.nonzero(m), strict=True)})
+
+
+def test_sigat(spark, monkeypatch):
+    """Equal to attention over rows of the 38 lists, which the model no longer makes."""
+    monkeypatch.setattr(blocks, "LEAST", 4)
+    rows = _random(9, 20, 80)
+    g = _graph(spark, rows).cache()
+    nodes = spark.createDataFrame([(v,) for v in {v for a, b, _ in rows for v in (a, b)} | {5}], "id long")
+    x = nodes.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).select("id", "pos", (F.pmod(F.col("id") * 7 + F.col("pos") * 3, F.lit(11)) - 5.0).alias("val"))
+    gats = [(models.fixed(2, 2), [0.1 * (k % 5), -0.4], [0.3, 0.02 * k]) for k in range(38)]
+    value = lambda df: {(r.id, r.pos): r.val for r in df.collect()}
+    want = value(layers.motif_attention(structure.motif_edges(g), nodes, x, gats))
+    assert value(structure.motif_attention(g, nodes, x, gats)) == pytest.approx(want) and len(want) == 76 * nodes.count()
+    monkeypatch.setattr(structure, "motif_edges", None)
+    assert models.sigat(g, nodes, x, 2, gats, models.fixed(78, 3), [0.1] * 3, models.fixed(3, 2), [0.0] * 2).count() == 2 * nodes.count()
